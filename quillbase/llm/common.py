@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -164,9 +165,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage through reliable files in the shared folder."""
+    """Cuts lineage through a Parquet table in the shared checkpoint folder.
+
+    Unlike Dataset.checkpoint, which carries its plan's size estimates along (they multiply from round to round of an
+    iterative plan), a table has its real size, by which later joins are planned. The tables lie in the run's own
+    subfolder and can be removed with it after the run.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
