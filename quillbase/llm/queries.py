@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, quality_classifier, quality_rules, toxicity
+from . import embeddings, html_extract, language_id, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +21,31 @@ def op2_quality_classifier(spark, sf_dir):
     return quality_classifier.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op3_line_dedup(spark, sf_dir):
+    out = line_dedup.deduplicated(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text")
+
+
+def op4_minhash(spark, sf_dir):
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(_read(spark, sf_dir, "documents"))
 
 
+def op6_html_extract(spark, sf_dir):
+    return html_extract.extract(_read(spark, sf_dir, "pages"))
+
+
 def op7_language_id(spark, sf_dir):
     return language_id.language_id(_read(spark, sf_dir, "documents"))
 
 
+def op8_embeddings(spark, sf_dir):
+    return embeddings.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -39,7 +56,7 @@ def op10_packing(spark, sf_dir):
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op5_quality_rules, op7_language_id, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_line_dedup, op4_minhash, op5_quality_rules, op6_html_extract, op7_language_id, op8_embeddings, op9_toxicity, op10_packing)}
 
 #: SQL of the same result from sizes, by sorting; the query itself uses histograms.
 MIXING_SQL = r"""
