@@ -232,8 +232,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     return train(got["text"].to_pylist(), got["label"].to_numpy()) if got.num_rows else None
 
 
-def score(docs: DataFrame, params: Params | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(doc_id, score) of every row, from all windows of its whole text."""
+def score(docs: DataFrame, params: Params | None, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """keep's columns and the score (under a name that keep doesn't have) of every row, from all windows of its whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(params)  # a few MB whatever the input
 
     def fn(b):
@@ -245,7 +245,7 @@ def score(docs: DataFrame, params: Params | None, keep: tuple[str, ...] = ("doc_
             np.maximum.at(out, text, _score_windows(p, words.inputs(p), ids))
         return {"score": 1 / (1 + np.exp(-np.clip(out, -700, 35))) * np.isfinite(out)}
 
-    return C.map_texts(docs, fn, "score double", keep=keep)
+    return C.map_texts(docs, lambda b: {name: fn(b)["score"]}, f"{name} double", keep=keep)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, modulus: int = 3, held: int = 1, train_rows: int = 2400) -> DataFrame:
