@@ -153,8 +153,9 @@ def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, percent: int
 def deduplicated(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame:
     """docs with their own columns, the text without the lines that go, and __n_lines and __n_removed beside."""
     gone = C.checkpoint(removed(docs, percent, min_words).groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("line").alias("__gone")))
-    split = F.split("text", "\n")
-    kept = F.filter(split, lambda x, i: ~F.array_contains(F.col("__gone"), i))
+    split = F.split(docs["text"], "\n")
+    kept = F.filter(split, lambda x, i: ~F.array_contains(gone["__gone"], i))
+    text = F.when(gone["__gone"].isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.when(docs["text"].isNull(), 0).otherwise(F.size(split)).cast("long")
     out = docs.join(gone, (docs["doc_id"] == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__th"]), "left")
-    out = out.withColumns({"__n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long"), "__n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), "text": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))})
-    return out.select(*docs.columns, "__n_lines", "__n_removed")
+    return out.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns], n_lines.alias("__n_lines"), F.coalesce(F.size(gone["__gone"]), F.lit(0)).cast("long").alias("__n_removed"))

@@ -229,4 +229,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, one of each component of near-duplicates (its least id), with docs' own columns."""
     gone = C.checkpoint(near_duplicates(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("__gone")))
-    return docs.join(C.small_side(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = C.small_side(gone)
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -107,6 +107,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST_TIMES) ->
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST_TIMES) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with docs' own columns."""
     _, plan = _planned(docs, weights, most)
-    times = F.col("__times") + (hash60(docs[_ID]) < F.col("__below")).cast("long")
-    out = docs.join(plan, _same(docs, plan)).withColumn("__n", times.cast("int")).where("__n > 0")
-    return out.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[docs[c] for c in docs.columns])
+    times = plan["__times"] + (hash60(docs[_ID]) < plan["__below"]).cast("long")
+    out = docs.join(plan, _same(docs, plan)).where(times > 0)
+    row = F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("row")
+    return out.select(row, F.explode(F.sequence(F.lit(1), times.cast("int"))).alias("k")).select("row.*")
