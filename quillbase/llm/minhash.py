@@ -7,7 +7,7 @@ a register of two sets agrees with about the probability of their similarity wha
 
 Equal sets are one class from the start, by a 128-bit fingerprint; copies are never paired. BANDS bands of ROWS
 registers give candidates: at similarity 0.8 a pair escapes all with probability (1 - 0.8**5)**48 < 1e-8. First each
-class is verified against one partner: of the least ids of its bands, the one whose estimate is highest. What then
+class is verified against one partner: of the least ids of its bands, the one that it shares most bands with. What then
 shares a band, lies in different components, and is neither too different in size nor in its estimate (SLACK standard
 deviations under the limit, collisions of registers taken off) is verified pair by pair. Bands shared by more than
 WIDE classes are split by each other band first, over and over up to DEEP times; a pair at the limit agrees in 16 of
@@ -173,30 +173,33 @@ def _needed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return C.checkpoint(docs.select("doc_id", "text").join(C.small_side(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text"))
 
 
-def _rest(bands: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _rest(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a band and could be similar by size."""
-    named = bands.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo != hi")
-    live = C.checkpoint(named.join(mixed.select("band", "m"), "band").select("band", "rep", "n", "root", "m"))
+    named = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("root", "rep").alias("root"))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows of the bands that hold several components, with the bands' sizes."""
+        several = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo != hi")
+        return C.checkpoint(rows.join(C.small_side(C.checkpoint(several.select("band", "m"))), "band"))
+
+    live = mixed(C.checkpoint(named))
     ready = []
     for _ in range(DEEP):
         ready.append(live.where(F.col("m") <= WIDE))
-        wide = live.where(F.col("m") > WIDE)
-        if not wide.head(1):
-            live = None
+        live = live.where(F.col("m") > WIDE)
+        if not live.head(1):
             break
-        other = bands.select("rep", F.col("band").alias("second"))
-        split = wide.join(other, "rep").where("second != band").select(F.xxhash64(F.least("band", "second"), F.greatest("band", "second")).alias("band"), "rep", "n", "root").distinct()
-        mixed = split.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo != hi")
-        live = C.checkpoint(split.join(mixed.select("band", "m"), "band").select("band", "rep", "n", "root", "m"))
-    if live is not None:
+        other = shared.select("rep", F.col("band").alias("second"))
+        split = live.drop("m").join(other, "rep").where("second != band").select(F.xxhash64(F.least("band", "second"), F.greatest("band", "second")).alias("band"), "rep", "n", "root").distinct()
+        live = mixed(C.checkpoint(split))
+    else:
         ready.append(live)
-    all_bands = ready[0]
+    rows = ready[0]
     for x in ready[1:]:
-        all_bands = all_bands.union(x)
-    left = all_bands.select("band", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("qa"))
-    right = all_bands.select("band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("qb"))
-    size = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        rows = rows.union(x)
+    left = rows.select("band", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("qa"))
+    right = rows.select("band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("qb"))
+    size = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     return left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("qa") != F.col("qb")) & size).select("a", "b").distinct()
 
 
@@ -205,17 +208,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sig = C.checkpoint(signatures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle))
     some = sig.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = C.checkpoint(some.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")))
-    bands = C.checkpoint(_bands(classes))
+    bands = _bands(classes)
     least = percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / BUCKETS) ** 0.5
-    # one partner each, from the least ids of its bands
-    heads = bands.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("x"), F.count("*").alias("m")).where("m > 1").select("band", "x")
-    star = bands.join(heads, "band").where((F.col("x.rep") != F.col("rep")) & (100 * F.least("x.n", "n") >= percent * F.greatest("x.n", "n"))).select(F.col("x.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    star = _estimated(star, classes, least)
-    star = C.checkpoint(star.groupBy("b").agg(F.max(F.struct("est", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b"))
+    # most bands hold one class and go at once
+    heads = C.small_side(C.checkpoint(bands.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("x"), F.count("*").alias("m")).where("m > 1").select("band", F.col("x.rep").alias("head"), F.col("x.n").alias("head_n"))))
+    shared = C.checkpoint(bands.join(heads, "band"))
+    # one partner each: of the least ids of its bands, the one that it shares most with
+    near = (F.col("head") != F.col("rep")) & (100 * F.least("head_n", "n") >= percent * F.greatest("head_n", "n"))
+    partners = shared.where(near).groupBy("rep", "head").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max(F.struct("c", (-F.col("head")).alias("a"))).alias("x"))
+    star = C.checkpoint(_estimated(C.checkpoint(partners.select((-F.col("x.a")).alias("a"), F.col("rep").alias("b"))), classes, least).select("a", "b"))
+    shared = shared.select("band", "rep", "n")
     links = C.checkpoint(_verified(star, _needed(docs, star), shingle, percent))
     roots = C.checkpoint(components(links))
     # what the first partners left apart
-    more = C.checkpoint(_estimated(_rest(bands, roots, percent), classes, least).select("a", "b"))
+    more = C.checkpoint(_estimated(_rest(shared, roots, percent), classes, least).select("a", "b"))
     if more.head(1):
         found = C.checkpoint(_verified(more, _needed(docs, more), shingle, percent))
         if found.head(1):
