@@ -8,10 +8,11 @@ a register of two sets agrees with about the probability of their similarity wha
 Equal sets are one class from the start, by a 128-bit fingerprint; copies are never paired. BANDS bands of ROWS
 registers give candidates: at similarity 0.8 a pair escapes all with probability (1 - 0.8**5)**48 < 1e-8. First each
 class is verified against one partner: of the least ids of its bands, the one that it shares most bands with. What then
-shares a band, lies in different components, and is neither too different in size nor in its estimate (SLACK standard
-deviations under the limit, collisions of registers taken off) is verified pair by pair. Bands shared by more than
-WIDE classes are split by each other band first, over and over up to DEEP times; a pair at the limit agrees in 16 of
-48 bands on average. Verification is exact on the whole sets of 64-bit shingle hashes.
+lies in different components asks the heads of its bands by other hashes, TURNS times, which joins large groups without
+pairing them. What then shares LEAST_BANDS bands (a pair at the limit shares 16 on average, and fewer than 3 with
+probability 2e-6), lies in different components, and is neither too different in size nor in its estimate (SLACK
+standard deviations under the limit, collisions of registers taken off) is verified pair by pair. Verification is
+exact on the whole sets of 64-bit shingle hashes.
 
 Null texts and texts without words have empty sets and are linked with nothing. Ids are unique and not null; rows with
 a null id come back with null component and kept.
@@ -30,7 +31,7 @@ from .components import components
 BANDS, ROWS, MANTISSA = 48, 5, 10
 BUCKETS = BANDS * ROWS
 SLACK = 5.0
-WIDE, DEEP = 64, 3
+TURNS, LEAST_BANDS = 2, 3
 _SPAN = np.uint64(BUCKETS)
 
 
@@ -173,34 +174,28 @@ def _needed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return C.checkpoint(docs.select("doc_id", "text").join(C.small_side(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text"))
 
 
-def _rest(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a band and could be similar by size."""
-    named = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("root", "rep").alias("root"))
+def _mixed(shared: DataFrame, roots: DataFrame, seed: int) -> DataFrame:
+    """(band, rep, n, root, head, head_n, head_root) of bands that hold several components; the head is their least by hash."""
+    named = C.checkpoint(shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("root", "rep").alias("root")))
+    head = F.min(F.struct(F.xxhash64("rep", F.lit(seed)), F.col("rep").alias("head"), F.col("n").alias("head_n"), F.col("root").alias("head_root"))).alias("x")
+    several = named.groupBy("band").agg(head, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band", "x.head", "x.head_n", "x.head_root")
+    return C.checkpoint(named.join(C.small_side(C.checkpoint(several)), "band"))
 
-    def mixed(rows: DataFrame) -> DataFrame:
-        """Rows of the bands that hold several components, with the bands' sizes."""
-        several = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo != hi")
-        return C.checkpoint(rows.join(C.small_side(C.checkpoint(several.select("band", "m"))), "band"))
 
-    live = mixed(C.checkpoint(named))
-    ready = []
-    for _ in range(DEEP):
-        ready.append(live.where(F.col("m") <= WIDE))
-        live = live.where(F.col("m") > WIDE)
-        if not live.head(1):
-            break
-        other = shared.select("rep", F.col("band").alias("second"))
-        split = live.drop("m").join(other, "rep").where("second != band").select(F.xxhash64(F.least("band", "second"), F.greatest("band", "second")).alias("band"), "rep", "n", "root").distinct()
-        live = mixed(C.checkpoint(split))
-    else:
-        ready.append(live)
-    rows = ready[0]
-    for x in ready[1:]:
-        rows = rows.union(x)
+def _partners(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each class, of the heads of its bands, the one that it shares most with, if sizes allow."""
+    near = (F.col("head") != F.col("rep")) & (100 * F.least("head_n", "n") >= percent * F.greatest("head_n", "n"))
+    best = rows.where(near).groupBy("rep", "head").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max(F.struct("c", (-F.col("head")).alias("a"))).alias("x"))
+    return best.select((-F.col("x.a")).alias("a"), F.col("rep").alias("b"))
+
+
+def _rest(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share enough bands and could be similar by size."""
     left = rows.select("band", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("qa"))
     right = rows.select("band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("qb"))
     size = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("qa") != F.col("qb")) & size).select("a", "b").distinct()
+    pairs = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("qa") != F.col("qb")) & size)
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("c")).where(F.col("c") >= LEAST_BANDS).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -214,18 +209,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     heads = C.small_side(C.checkpoint(bands.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("x"), F.count("*").alias("m")).where("m > 1").select("band", F.col("x.rep").alias("head"), F.col("x.n").alias("head_n"))))
     shared = C.checkpoint(bands.join(heads, "band"))
     # one partner each: of the least ids of its bands, the one that it shares most with
-    near = (F.col("head") != F.col("rep")) & (100 * F.least("head_n", "n") >= percent * F.greatest("head_n", "n"))
-    partners = shared.where(near).groupBy("rep", "head").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max(F.struct("c", (-F.col("head")).alias("a"))).alias("x"))
-    star = C.checkpoint(_estimated(C.checkpoint(partners.select((-F.col("x.a")).alias("a"), F.col("rep").alias("b"))), classes, least).select("a", "b"))
+    star = _partners(shared, percent)
     shared = shared.select("band", "rep", "n")
-    links = C.checkpoint(_verified(star, _needed(docs, star), shingle, percent))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        likely = C.checkpoint(_estimated(C.checkpoint(pairs), classes, least).select("a", "b"))
+        return C.checkpoint(_verified(likely, _needed(docs, likely), shingle, percent))
+
+    links = verified(star)
     roots = C.checkpoint(components(links))
-    # what the first partners left apart
-    more = C.checkpoint(_estimated(_rest(shared, roots, percent), classes, least).select("a", "b"))
-    if more.head(1):
-        found = C.checkpoint(_verified(more, _needed(docs, more), shingle, percent))
+    for turn in range(TURNS + 1):  # what is still apart asks other heads, and at last everything that it shares bands with
+        rows = _mixed(shared, roots, turn)
+        if not rows.head(1):
+            break
+        last = turn == TURNS
+        found = verified(_rest(rows, percent) if last else _partners(rows.where("root != head_root"), percent))
         if found.head(1):
-            roots = C.checkpoint(components(links.union(found)))
+            links = links.union(found)
+            roots = C.checkpoint(components(links))
     named = classes.select("key_a", "key_b", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key_a", "key_b", F.coalesce("root", "rep").alias("component_id"))
     out = some.select("doc_id", "n_shingles", "key_a", "key_b").join(named, ["key_a", "key_b"]).select("doc_id", "n_shingles", "component_id")
     rest = sig.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
