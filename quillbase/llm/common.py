@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of bytes other than space and \t..\r.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 #: Text handled at once by the vectorised scanners; a longer single text is still handled whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Most rows of (id, small values) that may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 200_000
 
