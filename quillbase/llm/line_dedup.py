@@ -6,7 +6,8 @@ of equal sets are one class, of which all but the first go, so copies are never
 
 Between classes: words are ordered from rare to frequent, by their counts over all lines in BINS hashed bins (ties by
 hash); two similar sets share a word within their prefixes (n - ceil(n * percent / 100) + 1 words). Pairs that meet on
-a prefix word pass the length filter and the positional filter (what can still be shared after that word) and are then
+a prefix word pass the length filter, the positional filter (what can still be shared after that word) and a filter on 64-bit marks of the
+sets' words (no more bits may differ than similar sets can differ in words), none of which loses a pair, and are then
 verified on the whole lines. A class whose similar classes begin earlier than a line's place makes that line go.
 
 Null texts have no lines. Rows with one doc_id and text share a place, so none makes the other go. Documents with a
@@ -99,9 +100,12 @@ def _postings(docs: DataFrame, counts, min_words: int, percent: int) -> DataFram
             # sets of few words can only equal one another
             ok = (at < n - (-(-n * percent // 100)) + 1) & (100 * n >= percent * (n + 1)) & (x.words[line] >= min_words)
             place = n[ok].astype(np.int64) << 32 | at[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(x.token[order][ok].view(np.int64)), pa.array(x.key[0][line[ok]]), pa.array(place)], ["token", "key_a", "place"])
+            marks = np.bitwise_or.reduceat(np.uint64(1) << (C.mix(x.token) >> np.uint64(58)), x.off[:-1][x.size > 0]) if len(x.token) else x.token
+            bits = np.zeros(len(x.size), np.uint64)
+            bits[x.size > 0] = marks
+            yield pa.RecordBatch.from_arrays([pa.array(x.token[order][ok].view(np.int64)), pa.array(x.key[0][line[ok]]), pa.array(place), pa.array(bits[line[ok]].view(np.int64))], ["token", "key_a", "place", "bits"])
 
-    return docs.select("text").mapInArrow(run, "token long, key_a long, place long").groupBy("token", "key_a").agg(F.min("place").alias("place"))
+    return docs.select("text").mapInArrow(run, "token long, key_a long, place long, bits long").groupBy("token", "key_a").agg(F.min("place").alias("place"), F.min("bits").alias("bits"))
 
 
 def removed(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame:
@@ -111,11 +115,13 @@ def removed(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame
     lines = C.checkpoint(_classes(docs, min_words))
     firsts = C.checkpoint(lines.groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "line", "th")).alias("first")))
     p = _postings(docs, counts, min_words, percent)
-    left, right = p.select("token", F.col("key_a").alias("a"), F.col("place").alias("pa")), p.select("token", F.col("key_a").alias("b"), F.col("place").alias("pb"))
+    left, right = p.select("token", F.col("key_a").alias("a"), F.col("place").alias("pa"), F.col("bits").alias("ba")), p.select("token", F.col("key_a").alias("b"), F.col("place").alias("pb"), F.col("bits").alias("bb"))
     na, nb, ia, ib = F.shiftright("pa", 32), F.shiftright("pb", 32), F.col("pa").bitwiseAND(0xFFFFFFFF), F.col("pb").bitwiseAND(0xFFFFFFFF)
     room = F.least(na - ia, nb - ib)
     # 100 * o >= percent * (na + nb - o)
     near = (F.col("a") < F.col("b")) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * room >= percent * (na + nb))
+    # each bit that differs needs a word that only one of the sets has
+    near &= (100 + percent) * F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) <= (100 - percent) * (na + nb)
     pairs = C.checkpoint(left.join(right, "token").where(near).select("a", "b").distinct())
     links = _verified(docs, firsts, pairs, percent)
     sides = links.select(F.col("fa").alias("first"), F.col("fb").alias("than")).union(links.select(F.col("fb").alias("first"), F.col("fa").alias("than")))
