@@ -9,10 +9,10 @@ Equal sets are one class from the start, by a 128-bit fingerprint; copies are ne
 registers give candidates: at similarity 0.8 a pair escapes all with probability (1 - 0.8**5)**48 < 1e-8. First each
 class is verified against one partner: of the least ids of its bands, the one that it shares most bands with. What then
 lies in different components asks the heads of its bands by other hashes, TURNS times, which joins large groups without
-pairing them. What then shares LEAST_BANDS bands (a pair at the limit shares 16 on average, and fewer than 3 with
-probability 2e-6), lies in different components, and is neither too different in size nor in its estimate (SLACK
-standard deviations under the limit, collisions of registers taken off) is verified pair by pair. Verification is
-exact on the whole sets of 64-bit shingle hashes.
+pairing them. Classes of bands that then still hold several components are paired across components if their rarest
+shingles, positions and sizes allow the similarity (exact filters) and their estimate does (SLACK standard deviations
+under the limit, collisions of registers taken off), and verified pair by pair. Verification is exact on the whole sets
+of 64-bit shingle hashes.
 
 Null texts and texts without words have empty sets and are linked with nothing. Ids are unique and not null; rows with
 a null id come back with null component and kept.
@@ -31,7 +31,9 @@ from .components import components
 BANDS, ROWS, MANTISSA = 48, 5, 10
 BUCKETS = BANDS * ROWS
 SLACK = 5.0
-TURNS, LEAST_BANDS = 2, 3
+TURNS = 2
+#: Shingles are counted in 2**BINS hashed bins.
+BINS = 18
 _SPAN = np.uint64(BUCKETS)
 
 
@@ -189,13 +191,48 @@ def _partners(rows: DataFrame, percent: int) -> DataFrame:
     return best.select((-F.col("x.a")).alias("a"), F.col("rep").alias("b"))
 
 
-def _rest(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share enough bands and could be similar by size."""
-    left = rows.select("band", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("qa"))
-    right = rows.select("band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("qb"))
-    size = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    pairs = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("qa") != F.col("qb")) & size)
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("c")).where(F.col("c") >= LEAST_BANDS).select("a", "b")
+def _rest(docs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that could be similar by size and by the shingles of their prefixes.
+
+    Shingles are ordered from rare to frequent; similar sets share one within their first n - ceil(n * percent / 100) + 1,
+    after which enough of both must be left. A text that differs too much from a large group has a prefix of its own
+    shingles, so that it isn't paired with the group's members.
+    """
+    some = C.small_side(C.checkpoint(rows.select(F.col("rep").alias("doc_id"), "n", "root").distinct()))
+    texts = C.checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, "doc_id").select(F.col("doc_id").alias("rep"), "n", "root", "text"))
+    shift = np.uint64(64 - BINS)
+
+    def count(batches):
+        total = np.zeros(1 << BINS, np.int64)
+        for b in C.slices(batches, "text"):
+            total += np.bincount((shingle_sets(b.column(0), shingle)[0] >> shift).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.minimum(total[at], (1 << 31) - 1))], ["bin", "n"])
+
+    got = texts.select("text").mapInArrow(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(1 << BINS, np.uint64)
+    seen[got["bin"].to_numpy()] = np.minimum(got["n"].to_numpy(), (1 << 31) - 1).astype(np.uint64)
+    seen = docs.sparkSession.sparkContext.broadcast(seen)
+
+    def run(batches):
+        often = seen.value
+        for b in C.slices(batches, "text"):
+            grams, off = shingle_sets(b.column(b.schema.get_field_index("text")), shingle)
+            doc = np.repeat(np.arange(b.num_rows), np.diff(off))
+            grams = grams[np.lexsort(((often[(grams >> shift).astype(np.int64)] << np.uint64(32)) | (grams & np.uint64(0xFFFFFFFF)), doc))]
+            at, n = np.arange(len(grams)) - off[doc], np.diff(off)[doc]
+            ok = at < n - (-(-n * percent // 100)) + 1
+            rest = b.select(["rep", "n", "root"]).take(pa.array(doc[ok]))
+            yield pa.RecordBatch.from_arrays([pa.array(grams[ok].view(np.int64)), *rest.columns, pa.array((n - at)[ok])], ["gram", "rep", "n", "root", "room"])
+
+    prefixes = C.checkpoint(texts.mapInArrow(run, "gram long, rep long, n long, root long, room long"))
+    # a shingle of one component pairs nothing
+    met = prefixes.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("gram")
+    prefixes = C.checkpoint(prefixes.join(met, "gram"))
+    side = lambda c: prefixes.select("gram", F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"q{c}"), F.col("room").alias(f"r{c}"))
+    near = (F.col("a") < F.col("b")) & (F.col("qa") != F.col("qb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    near &= (100 + percent) * F.least("ra", "rb") >= percent * (F.col("na") + F.col("nb"))
+    return side("a").join(side("b"), "gram").where(near).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -223,7 +260,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         if not rows.head(1):
             break
         last = turn == TURNS
-        found = verified(_rest(rows, percent) if last else _partners(rows.where("root != head_root"), percent))
+        found = verified(_rest(docs, rows, shingle, percent) if last else _partners(rows.where("root != head_root"), percent))
         if found.head(1):
             links = links.union(found)
             roots = C.checkpoint(components(links))
