@@ -29,11 +29,9 @@ SENTENCE, INSIDE = 1.0, 4.0
 GRID = 16
 BLOCK = 1 << 19
 #: White space of any kind beside a blank: such texts are encoded in one piece.
-_UNEVEN = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] | [\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+_UNEVEN = f"{_WHITE} | {_WHITE}"
 _loaded: dict[str, tuple] = {}
-#: Ids of pieces that a worker has met, forgotten when there are PIECES of them.
-_met: dict[str, dict[str, list[int]]] = {}
-PIECES = 400_000
 SLICE = 12 << 20
 
 
@@ -59,43 +57,62 @@ def _spread(ids: np.ndarray, off: np.ndarray, pick: np.ndarray) -> tuple[np.ndar
     return ids[at], size
 
 
+def _encode_each(t, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of pieces encoded one by one, and their numbers."""
+    ids, sizes = [np.zeros(0, np.uint32)], []
+    for a in range(0, len(pieces), 20_000):  # the tokenizer's results are large objects
+        lists = [e.ids for e in t.encode_batch_fast(pieces[a : a + 20_000], add_special_tokens=False)]
+        sizes += map(len, lists)
+        ids.append(np.fromiter(chain.from_iterable(lists), np.uint32))
+    return np.concatenate(ids), np.array(sizes, np.int64)
+
+
+def _encode_lines(t, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """As _encode_each, for pieces without white space but for a blank at the start: many at once, as lines of a text.
+    The tokenizer's own splitting always cuts beside such a line's break, and no id but the break's stands for it."""
+    ids = [np.zeros(0, np.uint32)]
+    for a in range(0, len(pieces), 20_000):
+        block = pieces[a : a + 20_000]
+        lines = ["\n".join([*block[k : k + 500], ""]) for k in range(0, len(block), 500)]
+        ids += [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(lines, add_special_tokens=False)]
+    ids, mark = np.concatenate(ids), t.encode("\n", add_special_tokens=False).ids
+    at = np.flatnonzero(ids == mark[0]) if len(mark) == 1 else []
+    if len(at) != len(pieces):  # another kind of tokenizer
+        return _encode_each(t, pieces)
+    return np.delete(ids, at), np.diff(at, prepend=-1) - 1
+
+
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts and offsets. A text is cut before each single blank, where the tokenizer's own splitting
     always cuts, so that each distinct piece is encoded once; texts with other white space beside a blank aren't cut."""
     t, _ = tokenizer(path)
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)
-    odd = np.flatnonzero(pc.match_substring_regex(texts, _UNEVEN).to_numpy(zero_copy_only=False))
-    if len(odd):
-        whole = pa.array(["" if i else x for i, x in zip(np.isin(np.arange(n), odd), texts.to_pylist())], pa.large_string())
-    else:
-        whole = texts
-    parts = pc.split_pattern(whole, " ")
+    uneven = pc.match_substring_regex(texts, _UNEVEN)
+    odd = np.flatnonzero(uneven.to_numpy(zero_copy_only=False))
+    parts = pc.split_pattern(pc.if_else(uneven, pa.scalar("", pa.large_string()), texts) if len(odd) else texts, " ")
     count = pc.list_value_length(parts).to_numpy()
     flat = parts.flatten().dictionary_encode()
+    names = flat.dictionary
     code = flat.indices.to_numpy().astype(np.int64)
-    first = np.zeros(len(code), bool)
-    first[(np.cumsum(count) - count)[count > 0]] = True
-    names = flat.dictionary.to_pylist()
-    code[first] += len(names)
-    used, code = np.unique(code, return_inverse=True)
-    pieces = [" " + names[i] if i < len(names) else names[i - len(names)] for i in used.tolist()] + [texts[int(i)].as_py() for i in odd]
-    met = _met.setdefault(path, {})
-    lists = [met.get(x) for x in pieces]
-    new = [i for i, x in enumerate(lists) if x is None]
-    if len(met) + len(new) > PIECES:
-        met.clear()
-    for a in range(0, len(new), 20_000):  # the tokenizer's results are large objects
-        for i, e in zip(new[a : a + 20_000], t.encode_batch_fast([pieces[i] for i in new[a : a + 20_000]], add_special_tokens=False)):
-            lists[i] = e.ids
-            if len(pieces[i]) < 40:
-                met[pieces[i]] = lists[i]
-    off = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
-    ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(off[-1]))
+    begin = np.cumsum(count) - count
+    code[begin[count > 0]] += len(names)  # a text's first piece has no blank before it
+    used = np.flatnonzero(np.bincount(code, minlength=2 * len(names)))
+    number = np.zeros(2 * len(names), np.int64)
+    number[used] = np.arange(len(used))
+    code = number[code]
+    plain = np.tile(~pc.match_substring_regex(names, f"^$|{_WHITE}").to_numpy(zero_copy_only=False), 2)[used]
+    names = names.to_pylist()
+    pieces = [" " + names[i] if i < len(names) else names[i - len(names)] for i in used.tolist()]
+    easy, hard = np.flatnonzero(plain), np.flatnonzero(~plain)
+    ids_a, size_a = _encode_lines(t, [pieces[i] for i in easy.tolist()])
+    ids_b, size_b = _encode_each(t, [pieces[i] for i in hard.tolist()] + [texts[int(i)].as_py() for i in odd])
+    place = np.empty(len(used), np.int64)
+    place[easy], place[hard] = np.arange(len(easy)), len(easy) + np.arange(len(hard))
+    code = place[code]
     if len(odd):  # the odd texts have one empty piece each, whose place their own lists take
-        at = np.cumsum(count) - count
-        code[at[odd]] = len(used) + np.arange(len(odd))
-    out, size = _spread(ids, off, code)
+        code[begin[odd]] = len(used) + np.arange(len(odd))
+    out, size = _spread(np.concatenate((ids_a, ids_b)), np.concatenate(([0], np.cumsum(np.concatenate((size_a, size_b))))).astype(np.int64), code)
     ends = np.concatenate(([0], np.cumsum(size)))
     return out, ends[np.concatenate(([0], np.cumsum(count)))]
 
