@@ -125,19 +125,20 @@ def cuts(ids: np.ndarray, doc_end: np.ndarray, sentence_ids: np.ndarray, last: b
     penalty[doc_end] = 0
     if last:  # the end of the partition can be cut anywhere
         penalty[max(1, n - max_len) :] = np.minimum(penalty[max(1, n - max_len) :], INSIDE)
-    known = np.concatenate(([0], np.flatnonzero(np.isfinite(penalty))))
-    known = np.unique(np.append(known, n))
+    can = np.isfinite(penalty)
+    can[[0, n]] = True
+    known = np.flatnonzero(can)
     gap = np.diff(known)
     wide = np.flatnonzero(gap > 2 * GRID)
     if len(wide):
         more = (gap[wide] - 1) // GRID
         at = np.repeat(known[wide], more) + GRID * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1)
-        penalty[at] = INSIDE
-        known = np.unique(np.concatenate((known, at)))
+        penalty[at], can[at] = INSIDE, True
+        known = np.flatnonzero(can)
     penalty[n] = 0
     place = np.full(n + 1, -1, np.int64)
     place[known] = np.arange(len(known))
-    jumps: dict[int, list[int]] = {}
+    jumps: list[tuple[int, ...]] = [()] * len(known)
     for b in (128, 256, 512) if not last else (2, 4, 8, 16, 32, 64, 128, 256, 512):
         if b < max_len:
             k = np.flatnonzero(known >= b)
@@ -145,21 +146,22 @@ def cuts(ids: np.ndarray, doc_end: np.ndarray, sentence_ids: np.ndarray, last: b
                 k = k[known[k] > n - max_len]
             i = place[known[k] - b]
             for a, c in zip(k[i >= 0].tolist(), i[i >= 0].tolist()):
-                jumps.setdefault(a, []).append(c)
+                jumps[a] += (c,)
     p, pen = known.tolist(), penalty[known].tolist()
     best, back = [0.0] * len(p), [0] * len(p)
     queue: deque[int] = deque([0])
     value = [0.0] * len(p)  # best + position, smallest at the queue's head
-    for k in range(1, len(p)):
-        at = p[k]
+    for k, (at, more, fee) in enumerate(zip(p, jumps, pen)):
+        if not k:
+            continue
         while p[queue[0]] < at - max_len:
             queue.popleft()
         i = queue[0]
         cost = value[i] + max_len - at
-        for j in jumps.get(k, ()):
+        for j in more:
             if best[j] < cost:
                 cost, i = best[j], j
-        cost += pen[k]
+        cost += fee
         best[k], back[k] = cost, i
         v = value[k] = cost + at
         while queue and value[queue[-1]] >= v:
