@@ -8,7 +8,9 @@ Between classes: words are ordered from rare to frequent, by their counts over a
 hash); two similar sets share a word within their prefixes (n - ceil(n * percent / 100) + 1 words). Pairs that meet on
 a prefix word pass the length filter, the positional filter (what can still be shared after that word) and a filter on 64-bit marks of the
 sets' words (no more bits may differ than similar sets can differ in words), none of which loses a pair, and are then
-verified on the whole lines. A class whose similar classes begin earlier than a line's place makes that line go.
+verified on the whole lines. A class whose similar classes begin earlier than a line's place makes that line go: first
+each class asks one other, the earliest of a word that it shares most prefix words with; only classes that this
+doesn't settle meet all that can be earlier, so that the copies of a line aren't paired with one another.
 
 Null texts have no lines. Rows with one doc_id and text share a place, so none makes the other go. Documents with a
 null doc_id keep all lines.
@@ -86,7 +88,10 @@ def _classes(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, counts, min_words: int, percent: int) -> DataFrame:
-    """(token, key_a, place): a row per prefix word; place holds the set's size and the word's position."""
+    """(token, key_a, place, bits, lead) of prefix words that several classes have.
+
+    place holds the set's size and the word's position, lead is the class's least doc_id.
+    """
 
     def run(batches):
         seen = counts.value
@@ -103,9 +108,22 @@ def _postings(docs: DataFrame, counts, min_words: int, percent: int) -> DataFram
             marks = np.bitwise_or.reduceat(np.uint64(1) << (C.mix(x.token) >> np.uint64(58)), x.off[:-1][x.size > 0]) if len(x.token) else x.token
             bits = np.zeros(len(x.size), np.uint64)
             bits[x.size > 0] = marks
-            yield pa.RecordBatch.from_arrays([pa.array(x.token[order][ok].view(np.int64)), pa.array(x.key[0][line[ok]]), pa.array(place), pa.array(bits[line[ok]].view(np.int64))], ["token", "key_a", "place", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.token[order][ok].view(np.int64)), pa.array(x.key[0][line[ok]]), pa.array(place), pa.array(bits[line[ok]].view(np.int64)), b.column(0).take(pa.array(x.doc[line[ok]]))], ["token", "key_a", "place", "bits", "lead"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    p = docs.select("doc_id", "text").mapInArrow(run, f"token long, key_a long, place long, bits long, lead {kind}").groupBy("token", "key_a").agg(F.min("place").alias("place"), F.min("bits").alias("bits"), F.min("lead").alias("lead"))
+    several = p.groupBy("token").agg(F.min("key_a").alias("lo"), F.max("key_a").alias("hi")).where("lo != hi").select("token")
+    return C.checkpoint(p.join(several, "token"))
 
-    return docs.select("text").mapInArrow(run, "token long, key_a long, place long, bits long").groupBy("token", "key_a").agg(F.min("place").alias("place"), F.min("bits").alias("bits"))
+
+def _near(percent: int):
+    """Whether sides (a, place pa, bits ba) and (b, pb, bb) that meet on a word can be similar."""
+    na, nb, ia, ib = F.shiftright("pa", 32), F.shiftright("pb", 32), F.col("pa").bitwiseAND(0xFFFFFFFF), F.col("pb").bitwiseAND(0xFFFFFFFF)
+    room = F.least(na - ia, nb - ib)
+    # 100 * o >= percent * (na + nb - o)
+    near = (F.col("a") != F.col("b")) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * room >= percent * (na + nb))
+    # each bit that differs needs a word that only one of the sets has
+    return near & ((100 + percent) * F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) <= (100 - percent) * (na + nb))
 
 
 def removed(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame:
@@ -115,15 +133,18 @@ def removed(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame
     lines = C.checkpoint(_classes(docs, min_words))
     firsts = C.checkpoint(lines.groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "line", "th")).alias("first")))
     p = _postings(docs, counts, min_words, percent)
-    left, right = p.select("token", F.col("key_a").alias("a"), F.col("place").alias("pa"), F.col("bits").alias("ba")), p.select("token", F.col("key_a").alias("b"), F.col("place").alias("pb"), F.col("bits").alias("bb"))
-    na, nb, ia, ib = F.shiftright("pa", 32), F.shiftright("pb", 32), F.col("pa").bitwiseAND(0xFFFFFFFF), F.col("pb").bitwiseAND(0xFFFFFFFF)
-    room = F.least(na - ia, nb - ib)
-    # 100 * o >= percent * (na + nb - o)
-    near = (F.col("a") < F.col("b")) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * room >= percent * (na + nb))
-    # each bit that differs needs a word that only one of the sets has
-    near &= (100 + percent) * F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) <= (100 - percent) * (na + nb)
-    pairs = C.checkpoint(left.join(right, "token").where(near).select("a", "b").distinct())
-    links = _verified(docs, firsts, pairs, percent)
+    side = lambda c: (F.col("key_a").alias(c), F.col("place").alias(f"p{c}"), F.col("bits").alias(f"b{c}"), F.col("lead").alias(f"l{c}"))
+    right = p.select("token", *side("b"))
+    # each class asks one other: of the earliest of its words, the one that most of them have
+    heads = p.groupBy("token").agg(F.min(F.struct("lead", "key_a", "place", "bits")).alias("h")).select("token", "h.*").select("token", *side("a"))
+    asked = right.join(heads, "token").where(_near(percent)).groupBy("b", "a").agg(F.count("*").alias("c")).groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select("x.a", "b")
+    links = _verified(docs, firsts, C.checkpoint(asked), percent)
+    # whose line is known to go needs no other link; the rest meet all classes that can be earlier
+    at = lambda c: F.struct(f"{c}.doc_id", f"{c}.line")
+    done = links.select(F.when(at("fa") < at("fb"), F.col("fb")).when(at("fb") < at("fa"), F.col("fa")).alias("first")).where("first IS NOT NULL").distinct()
+    done = C.small_side(C.checkpoint(firsts.join(done, "first", "left_semi").select(F.col("key_a").alias("b")).distinct()))
+    rest = p.select("token", *side("a")).join(right.join(done, "b", "left_anti"), "token").where(_near(percent) & (F.col("la") <= F.col("lb")))
+    links = links.union(_verified(docs, firsts, C.checkpoint(rest.select("a", "b").distinct()), percent))
     sides = links.select(F.col("fa").alias("first"), F.col("fb").alias("than")).union(links.select(F.col("fb").alias("first"), F.col("fa").alias("than")))
     sooner = sides.groupBy("first").agg(F.min("than").alias("than"))
     named = firsts.join(sooner, "first", "left").select("key_a", "key_b", F.least("first", F.coalesce("than", "first")).alias("earliest"))
