@@ -1,11 +1,11 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word's input is an embedding of the word (letters and digits only, hashed) beside the mean of the embeddings of its
-3- and 4-byte pieces, so that unseen words with known beginnings are told too. Every window of WINDOW words, STEP
-apart, of the whole text is scored; a text's score is its highest window's. Trained on at most about ``train_rows``
-labelled rows of at most ``train_chars`` characters, half of each label: windows inherit the text's label at first,
-then only each text's highest window does. Texts without words (or null) score 0; without rows of both labels all
-texts score 0.
+3- and 4-byte pieces, so that unseen words with known beginnings are told too. Every window of WINDOW words that the
+whole text holds is scored, one from each word on; a text's score is its highest window's. Trained on at most about
+``train_rows`` labelled rows of at most ``train_chars`` characters, half of each label: windows inherit the text's
+label at first (texts are drawn by their windows STEP apart, then any window of the text), then only each text's
+highest window of all does. Texts without words (or null) score 0; without rows of both labels all texts score 0.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from . import common as C
 WINDOW, STEP = 32, 28
 WORD_BITS, PIECE_BITS = 15, 15
 WORD_DIM, PIECE_DIM, HIDDEN, ATTEND = 8, 16, 8, 4
+#: Windows scored at once, which the cache holds.
+BLOCK = 2048
 _CORE = np.zeros(256, bool)
 _CORE[48:58] = _CORE[97:123] = _CORE[128:] = True
 Params = dict[str, np.ndarray]
@@ -68,7 +70,10 @@ class Words:
         """A row per distinct word, and a last row of zeros for padding."""
         if not len(self.word):
             return np.zeros((1, WORD_DIM + PIECE_DIM), np.float32)
-        pieces = np.add.reduceat(p["piece"][self.piece], self.first, axis=0) / np.sqrt(self.size)[:, None].astype(np.float32)
+        pieces = np.empty((len(self.word), PIECE_DIM), p["piece"].dtype)
+        for a in range(0, len(self.word), 1 << 14):  # the rows of all pieces at once would take hundreds of MB
+            first, size = self.first[a : a + (1 << 14)], self.size[a : a + (1 << 14)]
+            pieces[a : a + (1 << 14)] = np.add.reduceat(p["piece"][self.piece[first[0] : first[-1] + size[-1]]], first - first[0], axis=0) / np.sqrt(size)[:, None].astype(np.float32)
         x = np.concatenate((p["word"][self.word], pieces), 1)
         return np.concatenate((x, np.zeros((1, x.shape[1]), np.float32)))
 
@@ -79,12 +84,15 @@ class Words:
         n = np.where(count > 0, 1 + np.maximum(0, -(-(count - WINDOW) // STEP)), 0)
         text = np.repeat(np.arange(self.n), n)
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        begin = np.minimum(k * STEP, np.maximum(0, count[text] - WINDOW))
+        return self.window(np.minimum(k * STEP, np.maximum(0, count[text] - WINDOW)), text), text
+
+    def window(self, begin: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Word numbers of the windows of texts from their words begin on."""
         at = begin[:, None] + np.arange(WINDOW)
-        ok = at < count[text][:, None]
+        ok = at < np.diff(self.word_off)[text][:, None]
         ids = np.full(at.shape, len(self.word), np.int64)
         ids[ok] = self.ids[(self.word_off[text][:, None] + at)[ok]]
-        return ids, text
+        return ids
 
 
 def new_params(seed: int = 11) -> Params:
@@ -179,8 +187,67 @@ def gradients(p: Params, words: Words, ids: np.ndarray, y: np.ndarray, weight: n
     return g, (words.word, dx[:, :WORD_DIM]), (words.piece, pieces)
 
 
-def _score_windows(p: Params, x: np.ndarray, ids: np.ndarray, at_once: int = 1024) -> np.ndarray:
-    return np.concatenate([forward(p, x, ids[i : i + at_once]) for i in range(0, len(ids), at_once)] or [np.zeros(0, np.float32)])
+def _full_windows(p: Params, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """forward's logit of the window from each of the words ids on, as far as whole windows reach.
+
+    A row is a gate and a column a window, so that step k reads a contiguous run of inputs. Gates come as tanh of half
+    their input, and one product gives a state's part in the next gates, in the attention and in the output.
+    """
+    n, h1, h2, h3 = len(ids) - WINDOW + 1, HIDDEN, 2 * HIDDEN, 3 * HIDDEN
+    half = np.full(h3, 0.5, np.float32)
+    sides = []
+    for k, lo in (("f", 0), ("b", HIDDEN)):
+        proj = (x @ p[f"w{k}"] + p[f"c{k}"]).astype(np.float32)
+        proj[:, :h2] *= 0.5
+        part = np.concatenate(((p[f"u{k}"] * half).T, p["a"][lo : lo + HIDDEN].T, p["o"][None, lo : lo + HIDDEN]))
+        sides.append((proj, np.ascontiguousarray(part, np.float32)))
+    out = np.empty(max(n, 0), np.float32)
+    for at in range(0, n, BLOCK):
+        b = min(BLOCK, n - at)
+        said = []
+        for back, (proj, part) in enumerate(sides):
+            g = np.ascontiguousarray(proj[ids[at : at + b + WINDOW - 1]].T)
+            h, all_, told = np.zeros((h1, b), np.float32), np.empty((len(part), b), np.float32), np.empty((WINDOW, ATTEND + 1, b), np.float32)
+            all_[:] = 0
+            for k in range(WINDOW - 1, -1, -1) if back else range(WINDOW):
+                rz, hn, gk = all_[:h2], all_[h2:h3], g[:, k : k + b]
+                rz += gk[:h2]
+                np.tanh(rz, rz)
+                r, z = rz[:h1], rz[h1:]
+                r += 1
+                r *= hn
+                r += gk[h2:]
+                np.tanh(r, r)
+                r -= h
+                z *= -0.5
+                z += 0.5
+                r *= z
+                h += r
+                np.matmul(part, h, out=all_)
+                told[k] = all_[h3:]
+            said.append(told)
+        told = said[0]
+        told += said[1]
+        w = np.exp(np.einsum("kab,a->kb", np.tanh(told[:, :ATTEND]), p["v"].astype(np.float32)))
+        out[at : at + b] = (w * told[:, ATTEND]).sum(0) / w.sum(0) + p["bias"]
+    return out
+
+
+def highest(p: Params, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Logit and first word of each text's highest window, of all; -inf for texts without words."""
+    count, x = np.diff(words.word_off), words.inputs(p)
+    best, begin = np.full(words.n, -np.inf), np.zeros(words.n, np.int64)
+    short = np.flatnonzero((count > 0) & (count < WINDOW))
+    for i in range(0, len(short), BLOCK):
+        best[short[i : i + BLOCK]] = forward(p, x, words.window(np.zeros(len(short[i : i + BLOCK]), np.int64), short[i : i + BLOCK]))
+    if (count >= WINDOW).any():
+        # windows over a text's end belong to none
+        logit = _full_windows(p, x, words.ids)
+        for t in np.flatnonzero(count >= WINDOW):
+            own = logit[words.word_off[t] : words.word_off[t + 1] - WINDOW + 1]
+            begin[t] = own.argmax()
+            best[t] = own[begin[t]]
+    return best, begin
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 11, rounds: int = 5, steps: int = 450, batch: int = 128, rate: float = 0.01, table_rate: float = 0.1, least: int = 4) -> Params | None:
@@ -188,31 +255,37 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11, rounds: int = 5,
         return None
     rng, p = np.random.default_rng(seed), new_params(seed)
     words = Words(pa.array(texts, pa.large_string()))
-    ids, text = words.windows()
+    count = np.diff(words.word_off)
+    last = np.maximum(0, count - WINDOW)
+    text = np.repeat(np.arange(words.n), np.where(count > 0, 1 + -(-last // STEP), 0))
     known = np.bincount(words.word, words.count, minlength=1 << WORD_BITS) >= least  # rarer words are told by their pieces alone
-    y = labels[text].astype(np.float32)
+    y = np.asarray(labels).astype(np.float32)
     dense = [k for k in p if k not in ("word", "piece")]
     m1, m2 = {k: np.zeros_like(p[k]) for k in dense}, {k: np.zeros_like(p[k]) for k in dense}
     seen = {k: np.full(len(p[k]), 1e-3, np.float32) for k in ("word", "piece")}
-    pos, neg, step = np.flatnonzero(y == 1), np.flatnonzero(y == 0), 0
+    # (text, first word of the window; -1: any)
+    drawn = lambda t: np.stack((t, np.full(len(t), -1)), 1)
+    pos, clean, step = drawn(text[y[text] == 1]), text[y[text] == 0], 0
+    neg = drawn(clean)
     if not len(pos) or not len(neg):
         return None
     for turn in range(rounds):
         if turn >= 2:  # from now on a text is as toxic as its highest window
-            logit = _score_windows(p, words.inputs(p), ids)
-            order = np.lexsort((-logit, text))
-            top = order[np.unique(text[order], return_index=True)[1]]
-            pos, hard = top[y[top] == 1], top[y[top] == 0]
-            neg = np.concatenate((hard, hard, rng.choice(np.flatnonzero(y == 0), len(hard))))
+            best, begin = highest(p, words)
+            top = np.stack((np.arange(words.n), begin), 1)[np.isfinite(best)]
+            pos, hard = top[y[top[:, 0]] == 1], top[y[top[:, 0]] == 0]
+            neg = np.concatenate((hard, hard, drawn(rng.choice(clean, len(hard)))))
         for _ in range(steps // rounds):
-            pick = np.concatenate((rng.choice(pos, batch // 2), rng.choice(neg, batch - batch // 2)))
-            used, local = np.unique(ids[pick], return_inverse=True)
+            pick, begin = np.concatenate((rng.choice(pos, batch // 2), rng.choice(neg, batch - batch // 2))).T
+            begin = np.where(begin < 0, rng.integers(0, last[pick] + 1), begin)
+            ids = words.window(begin, pick)
+            used, local = np.unique(ids, return_inverse=True)
             real = used[used < len(words.word)]
             sub = Words.__new__(Words)
             sub.word, sub.size = words.word[real], words.size[real]
             sub.first = np.cumsum(sub.size) - sub.size
             sub.piece = words.piece[np.repeat(words.first[real] - sub.first, sub.size) + np.arange(sub.size.sum())]
-            g, *tables = gradients(p, sub, local.reshape(ids[pick].shape), y[pick], np.ones(len(pick), np.float32))
+            g, *tables = gradients(p, sub, local.reshape(ids.shape), y[pick], np.ones(len(pick), np.float32))
             step += 1
             for k in dense:
                 m1[k] = 0.9 * m1[k] + 0.1 * g[k]
@@ -239,10 +312,7 @@ def score(docs: DataFrame, params: Params | None, keep: tuple[str, ...] = ("doc_
     def fn(b):
         p = shared.value
         words = Words(b.column(b.schema.get_field_index("text")))
-        out = np.full(words.n, -np.inf)
-        if p is not None and len(words.word):
-            ids, text = words.windows()
-            np.maximum.at(out, text, _score_windows(p, words.inputs(p), ids))
+        out = highest(p, words)[0] if p is not None and len(words.word) else np.full(words.n, -np.inf)
         return {"score": 1 / (1 + np.exp(-np.clip(out, -700, 35))) * np.isfinite(out)}
 
     return C.map_texts(docs, lambda b: {name: fn(b)["score"]}, f"{name} double", keep=keep)

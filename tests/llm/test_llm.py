@@ -377,3 +377,16 @@ def test_pipeline(spark, tokens, tmp_path):
     out = pipeline.run(spark, str(tmp_path))
     assert out.select("doc_id").distinct().join(docs, "doc_id", "left_anti").count() == 0
     assert out.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t"), F.countDistinct("start")).where("n % t <> 0").count() == 0
+
+
+def test_toxicity_all_windows():
+    # a stretch that a grid of windows 28 apart cuts in two counts whole, wherever it lies
+    p = {k: v + 0.3 * np.random.default_rng(1).standard_normal(v.shape).astype(np.float32) for k, v in toxicity.new_params(3).items()}
+    texts = [" ".join(f"w{i * k % 97}" for i in range(n)) for k, n in ((1, 100), (3, 33), (5, 32), (7, 5), (11, 2500))] + [None]
+    w = toxicity.Words(pa.array(texts))
+    best, begin = toxicity.highest(p, w)
+    for t, text in enumerate(texts[:-1]):
+        every = np.arange(max(1, len(text.split()) - toxicity.WINDOW + 1))
+        z = toxicity.forward(p, w.inputs(p), w.window(every, np.full(len(every), t)))
+        assert best[t] == pytest.approx(z.max(), abs=1e-4) and z[begin[t]] == pytest.approx(z.max(), abs=1e-4)
+    assert best[-1] == -np.inf and begin[0] % 28
