@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines similar to earlier ones go, and documents that lose every word by it; n_chars follows the text."""
-    out = line_dedup.deduplicated(docs)
+    out = line_dedup.deduplicated(docs, min_words=1)
     out = out.where((F.col("__n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.when(F.col("__n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 

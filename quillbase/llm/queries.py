@@ -22,7 +22,7 @@ def op2_quality_classifier(spark, sf_dir):
 
 
 def op3_line_dedup(spark, sf_dir):
-    out = line_dedup.deduplicated(_read(spark, sf_dir, "documents"))
+    out = line_dedup.deduplicated(_read(spark, sf_dir, "documents"), min_words=1)
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text")
 
 

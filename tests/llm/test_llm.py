@@ -390,3 +390,19 @@ def test_toxicity_all_windows():
         z = toxicity.forward(p, w.inputs(p), w.window(every, np.full(len(every), t)))
         assert best[t] == pytest.approx(z.max(), abs=1e-4) and z[begin[t]] == pytest.approx(z.max(), abs=1e-4)
     assert best[-1] == -np.inf and begin[0] % 28
+
+
+def test_lines_short(spark, tmp_path):
+    # copies of lines of 1 to 4 words go too, in op3 as in the pipeline
+    from quillbase.llm import queries
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    frame(spark).drop("__gone", "score", "rep").write.parquet(str(tmp_path / "documents.parquet"))
+    gone, want = brute_lines(1), {}
+    for i, t in enumerate(TEXTS):
+        want[i] = None if t is None else "\n".join(s for k, s in enumerate(t.split("\n")) if (i, k) not in gone)
+    assert {r["doc_id"]: r["text"] for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()} == want
+    kept = {i: t for i, t in want.items() if t == TEXTS[i] or WORD.search(t)}
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    got = pipeline.drop_lines(spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == kept and all(r["n_chars"] == len(r["text"] or "") for r in got)
