@@ -3,7 +3,7 @@
 Vectors of a label (and length) are dealt by hash into shards of about SHARD; equal vectors are one node with a count.
 Every shard's graph is asked by every shard of its label, block against block. A beam whose worst hit is still a link
 is widened; then a sample of AUDIT queries is compared with brute force over the block, and all beams are widened until
-RECALL of its links is found; a graph that never gets there is scanned. Links are verified by cosine in double
+RECALL of its links is found, and of the nearest nodes of those without links; a graph that never gets there is scanned. Links are verified by cosine in double
 precision. A pair of blocks gives sums and a spanning forest, never its pairs.
 
 Null, zero, or not finite vectors (or with null components) and vectors with a null label link with nothing. Ids are
@@ -129,6 +129,13 @@ class Graph:
         del rows
         return np.where(sims > -2, ids, -1), sims
 
+    def best(self, q: np.ndarray, ef: int) -> np.ndarray:
+        """Similarity of the nearest node that a beam finds."""
+        start = np.zeros((len(q), 1), np.int64)
+        for k in range(len(self.near) - 1, 0, -1):
+            start = self.search(q, start, 4, k, len(self.x))[0]
+        return self.search(q, start, ef, 0, len(self.x))[1][:, 0]
+
     def near_to(self, q: np.ndarray, least: float, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) pairs of at least that similarity; full beams of links are widened."""
         out, n = [], len(self.x)
@@ -156,9 +163,13 @@ def linked(q: np.ndarray, graph: Graph, least: float) -> tuple[np.ndarray, np.nd
     pick = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
     r, c = _scan(q[pick], graph.x, least)
     truth, ef = set(zip(r.tolist(), c.tolist())), EF
+    # a query without links must find its nearest node, however far that is: an audit of nothing would pass
+    bare = q[np.delete(pick, np.unique(r))]
+    nearest = (bare @ graph.x.T).max(1) - 1e-9
     while ef < len(graph.x):
         found = set(zip(*map(np.ndarray.tolist, graph.near_to(q[pick], least, ef))))
-        if len(found & truth) >= RECALL * len(truth):
+        hit = int((graph.best(bare, ef) >= nearest).sum()) if len(bare) else 0
+        if len(found & truth) >= RECALL * len(truth) and hit >= RECALL * len(bare):
             return *graph.near_to(q, least, ef), ef
         ef *= 2
     return *_scan(q, graph.x, least), 0

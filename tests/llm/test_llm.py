@@ -406,3 +406,17 @@ def test_lines_short(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     got = pipeline.drop_lines(spark, docs, str(tmp_path)).collect()
     assert {r["doc_id"]: r["text"] for r in got} == kept and all(r["n_chars"] == len(r["text"] or "") for r in got)
+
+
+def test_audit_without_links():
+    # no audited query has a link, and the graph leads nowhere: the one link of another query must still be found
+    r = np.random.default_rng(6)
+    x, q = embeddings._unit(r.standard_normal((1000, 16))), embeddings._unit(r.standard_normal((200, 16)))
+    g = embeddings.Graph(x)
+    for k in range(len(g.near)):
+        g.near[k][:] = -1
+    picks = np.unique(np.linspace(0, len(q) - 1, embeddings.AUDIT).astype(int))
+    q[1] = g.x[700]
+    assert 1 not in picks and (q[picks] @ x.T < 0.97).all()
+    rows, nodes, _ = embeddings.linked(q, g, 0.97)
+    assert (1, 700) in set(zip(rows.tolist(), nodes.tolist()))
