@@ -11,7 +11,7 @@ class is verified against one partner: of the least ids of its bands, the one th
 lies in different components asks the heads of its bands by other hashes, TURNS times, which joins large groups without
 pairing them. Classes of bands that then still hold several components are paired across components if their rarest
 shingles, positions and sizes allow the similarity (exact filters) and their estimate does (SLACK standard deviations
-under the limit, collisions of registers taken off), and verified pair by pair. Verification is exact on the whole sets
+under the limit, collisions of registers taken off; from SURE shingles on), and verified pair by pair. Verification is exact on the whole sets
 of 64-bit shingle hashes.
 
 Null texts and texts without words have empty sets and are linked with nothing. Ids are unique and not null; rows with
@@ -31,6 +31,8 @@ from .components import components
 BANDS, ROWS, MANTISSA = 48, 5, 10
 BUCKETS = BANDS * ROWS
 SLACK = 5.0
+#: From so many shingles on the estimate may rule a pair out.
+SURE = 64
 TURNS = 2
 #: Shingles are counted in 2**BINS hashed bins.
 BINS = 18
@@ -137,18 +139,20 @@ def _bands(classes: DataFrame) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """(a, b, est) of pairs whose estimate doesn't rule them out."""
-    side = lambda c: classes.select(F.col("rep").alias(c), F.col("registers").alias(f"r{c}"))
+    """(a, b, est) of pairs whose estimate doesn't rule them out. Sets of fewer than SURE shingles fill too few registers
+    for that, the rest being copies, so their pairs all go on to the whole sets."""
+    side = lambda c: classes.select(F.col("rep").alias(c), F.col("registers").alias(f"r{c}"), F.col("n").alias(f"n{c}"))
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 get = lambda k: np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, BUCKETS)
                 e = estimate(get(2), get(3))
-                ok = pa.array(e >= least)
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(e[e >= least])], ["a", "b", "est"])
+                go = (e >= least) | (np.minimum(b.column(4).to_numpy(), b.column(5).to_numpy()) < SURE)
+                ok = pa.array(go)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(e[go])], ["a", "b", "est"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long, est double")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long, est double")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:

@@ -420,3 +420,13 @@ def test_audit_without_links():
     assert 1 not in picks and (q[picks] @ x.T < 0.97).all()
     rows, nodes, _ = embeddings.linked(q, g, 0.97)
     assert (1, 700) in set(zip(rows.tolist(), nodes.tolist()))
+
+
+def test_estimate_spares_small_sets(spark):
+    # registers that agree in half of all buckets put a pair of 0.8 far under the limit
+    a = np.arange(minhash.BUCKETS, dtype=np.uint16)
+    b = np.where(a % 2, a, a + np.uint16(1000)).astype(np.uint16)
+    rows = [(1, 5, a.tobytes()), (2, 4, b.tobytes()), (3, 500, a.tobytes()), (4, 400, b.tobytes())]
+    classes = spark.createDataFrame(rows, "rep long, n long, registers binary")
+    pairs = spark.createDataFrame([(1, 2), (3, 4)], "a long, b long")
+    assert [(r["a"], r["b"]) for r in minhash._estimated(pairs, classes, 0.671).collect()] == [(1, 2)]
