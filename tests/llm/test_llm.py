@@ -430,3 +430,47 @@ def test_estimate_spares_small_sets(spark):
     classes = spark.createDataFrame(rows, "rep long, n long, registers binary")
     pairs = spark.createDataFrame([(1, 2), (3, 4)], "a long, b long")
     assert [(r["a"], r["b"]) for r in minhash._estimated(pairs, classes, 0.671).collect()] == [(1, 2)]
+
+
+def test_pipeline_stages(spark, learnt, tokens, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs, labels = learnt
+    copies = spark.createDataFrame([(2000, docs.where("doc_id = 0").first()["text"] + " extra", "de", "s", 0, 1, 0.5, "r"), (2001, "short line\nshort line", "de", "t", 0, 1, 0.5, "r"), (2002, "Short line", "de", "t", 0, 1, 0.5, "r")], SCHEMA)
+    docs.union(copies).drop("__gone", "score", "rep").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    seen = []
+    for _, stage in pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.coalesce(2).write.parquet(path := str(tmp_path / stage.__name__))
+        docs = spark.read.parquet(path)
+        seen.append(docs.collect())
+    get = lambda k: {r["doc_id"]: r["text"] for r in seen[k]}
+    # the planted words are what is toxic
+    bad = {i for i, t in texts.items() if t and re.search("grumblex|snarfig|zorkle", t)}
+    kept = get(0)
+    assert len(bad) == 120 and len(bad & set(kept)) <= 12 and len(set(texts) - bad - set(kept)) <= 12
+    assert all(kept[i] == texts[i] for i in kept)
+    first, want = {}, {}
+    lines = [(i, k, frozenset(WORD.findall(s.translate(LOW)))) for i in sorted(kept) for k, s in enumerate((kept[i] or "").split("\n"))]
+    for i, k, s in lines:
+        first.setdefault(s, (i, k))
+    gone = {(i, k) for i, k, s in lines if s and min(p for o, p in first.items() if 100 * len(s & o) >= 80 * len(s | o)) < (i, k)}
+    for i, t in kept.items():
+        left = None if t is None else "\n".join(s for k, s in enumerate(t.split("\n")) if (i, k) not in gone)
+        if left == t or WORD.search(left):
+            want[i] = left
+    assert get(1) == want
+    sets = {i: shingles(t, 5) for i, t in want.items()}
+    top = roots([(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], sets)
+    assert get(2) == {i: t for i, t in want.items() if top[i] == i}
+    times = {r["doc_id"]: r["times"] for r in mixing.mix(spark.read.parquet(str(tmp_path / "drop_near_copies"))).collect()}
+    assert collections.Counter(r["doc_id"] for r in seen[3]) == {i: n for i, n in times.items() if n} and all(r["text"] == want[r["doc_id"]] for r in seen[3])
+    t, _ = packing.tokenizer(tokens)
+    size = {i: n * (1 + len(t.encode(want[i] or "", add_special_tokens=False).ids)) for i, n in times.items() if n}
+    for rows in (seen[4], pipeline.run(spark, str(tmp_path)).collect()):
+        total = collections.Counter()
+        for r in rows:
+            total[r["doc_id"]] += r["length"]
+        assert total == size
