@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import pickle
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -157,11 +160,18 @@ def map_texts(docs: DataFrame, fn: Callable[[pa.RecordBatch], dict], added: str,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names its shared folder in spark.checkpoint.dir; only where that is unset is one made here."""
+    """The cluster names its shared folder in spark.checkpoint.dir. Only a local master, which is one machine, may go
+    without; elsewhere a folder made here would be on the driver's disk alone."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillbase-checkpoint-"))
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="quillbase-checkpoint-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    sc.setCheckpointDir(path)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -169,12 +179,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
     Unlike Dataset.checkpoint, which carries its plan's size estimates along (they multiply from round to round of an
     iterative plan), a table has its real size, by which later joins are planned. The tables lie in the run's own
-    subfolder and can be removed with it after the run.
+    subfolder; release() removes those that nothing reads any more.
     """
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._checkpoint_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes checkpoint tables, once all that was built on them is itself written."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._checkpoint_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -182,6 +201,27 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def fitted(sample: DataFrame, train: Callable[[pa.Table], object], order: str = "doc_id"):
+    """train's result on a sample that its caller has bounded in rows and bytes, in one executor task; the driver gets
+    the model alone. Rows come sorted, so that a task that runs again gives the same. None for an empty sample."""
+
+    def run(batches):
+        rows = [b for b in batches if b.num_rows]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(pa.Table.from_batches(rows)))], pa.binary())], ["model"])
+
+    got = sample.repartition(1).sortWithinPartitions(order).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else None
+
+
+def excerpt(text, most: int, parts: int = 8):
+    """A text column of at most ``most`` characters: of a longer text, ``parts`` stretches spread evenly over it."""
+    size = F.length(text)
+    each = most // parts
+    cut = [F.substring(text, F.lit(1) + F.floor((size - each) * (i / max(1, parts - 1))).cast("int"), F.lit(each)) for i in range(parts)]
+    return F.when(size <= most, text).otherwise(F.concat_ws(" ", *cut))
+
+
 def crc_mod(col: str, n: int):
     return F.pmod(F.crc32(F.col(col).cast("string")), F.lit(n))
 

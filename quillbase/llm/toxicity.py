@@ -2,10 +2,12 @@
 
 A word's input is an embedding of the word (letters and digits only, hashed) beside the mean of the embeddings of its
 3- and 4-byte pieces, so that unseen words with known beginnings are told too. Every window of WINDOW words that the
-whole text holds is scored, one from each word on; a text's score is its highest window's. Trained on at most about
-``train_rows`` labelled rows of at most ``train_chars`` characters, half of each label: windows inherit the text's
-label at first (texts are drawn by their windows STEP apart, then any window of the text), then only each text's
-highest window of all does. Texts without words (or null) score 0; without rows of both labels all texts score 0.
+whole text holds is scored, one from each word on; a text's score is its highest window's. Trained in one executor
+task on at most about ``train_rows`` labelled rows, half of each label, of each at most ``train_chars`` characters (of a
+longer text, stretches spread evenly over it): windows inherit the text's label at first (texts are drawn by their
+windows STEP apart, then any window of the text), then only each text's highest window of all does. Texts without words
+(or null) score 0; without rows of both labels all texts score 0. Of several labels of one doc_id the highest counts.
+Rows that repeat, and columns of any name beside doc_id and text, are no trouble: every row is scored on its own.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ class Words:
         self.word_off, self.n = s.word_off, s.n
         if not len(s.start):
             self.ids = np.zeros(0, np.int64)
+            self.whole = np.zeros(0, np.uint64)
             self.word, self.piece, self.first, self.size, self.count = (np.zeros(0, np.int64) for _ in range(5))
             return
         core = _CORE[s.data] & s.is_word
@@ -49,6 +52,7 @@ class Words:
         place = np.empty_like(often)
         place[often] = np.arange(len(often))
         at, self.ids, self.count = at[often], place[ids], count[often]
+        self.whole = whole[at]
         self.word = (h[at] >> np.uint64(64 - WORD_BITS)).astype(np.int64)
         nxt = np.append(s.is_word[1:], False)
         nxt[s.off[1:-1][(s.off[1:-1] > 0) & (s.off[1:-1] < len(s.data))] - 1] = False
@@ -66,6 +70,22 @@ class Words:
         self.piece = np.stack(((a >> np.uint32(32 - PIECE_BITS)), (b >> np.uint32(32 - PIECE_BITS))), 1).astype(np.int64).ravel()
         self.first, self.size = 2 * (np.cumsum(length) - length), 2 * length
 
+    @classmethod
+    def joined(cls, parts: list[Words]) -> Words:
+        """The words of all parts' texts, one part after the other."""
+        out = cls.__new__(cls)
+        out.n = sum(p.n for p in parts)
+        out.word_off = np.concatenate([[0], *(p.word_off[1:] + at for p, at in zip(parts, np.cumsum([0, *(len(p.ids) for p in parts)])))])
+        _, at, own = np.unique(np.concatenate([p.whole for p in parts]), return_index=True, return_inverse=True)
+        begin = np.cumsum([0, *(len(p.whole) for p in parts)])
+        out.ids = np.concatenate([own[b + p.ids] for p, b in zip(parts, begin)])
+        out.count = np.bincount(out.ids, minlength=len(at))
+        out.whole, out.word, out.size = (np.concatenate([getattr(p, k) for p in parts])[at] for k in ("whole", "word", "size"))
+        out.first = np.cumsum(out.size) - out.size
+        first = np.concatenate([p.first + b for p, b in zip(parts, np.cumsum([0, *(len(p.piece) for p in parts)]))])[at]
+        out.piece = np.concatenate([p.piece for p in parts])[np.repeat(first - out.first, out.size) + np.arange(out.size.sum())]
+        return out
+
     def inputs(self, p: Params) -> np.ndarray:
         """A row per distinct word, and a last row of zeros for padding."""
         if not len(self.word):
@@ -250,11 +270,10 @@ def highest(p: Params, words: Words) -> tuple[np.ndarray, np.ndarray]:
     return best, begin
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 11, rounds: int = 5, steps: int = 450, batch: int = 128, rate: float = 0.01, table_rate: float = 0.1, least: int = 4) -> Params | None:
+def train(words: Words, labels: np.ndarray, seed: int = 11, rounds: int = 5, steps: int = 450, batch: int = 128, rate: float = 0.01, table_rate: float = 0.1, least: int = 4) -> Params | None:
     if len(set(labels.tolist())) < 2:
         return None
     rng, p = np.random.default_rng(seed), new_params(seed)
-    words = Words(pa.array(texts, pa.large_string()))
     count = np.diff(words.word_off)
     last = np.maximum(0, count - WINDOW)
     text = np.repeat(np.arange(words.n), np.where(count > 0, 1 + -(-last // STEP), 0))
@@ -299,10 +318,15 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11, rounds: int = 5,
     return p
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held: int = 1, train_rows: int = 2400, train_chars: int = 100_000) -> Params | None:
-    part = C.labelled(docs, labels, label, modulus, held, train_rows, per_class=True).where(F.length("text") <= train_chars)
-    got = part.select("doc_id", "text", "label").toArrow().sort_by("doc_id")
-    return train(got["text"].to_pylist(), got["label"].to_numpy()) if got.num_rows else None
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held: int = 1, train_rows: int = 2400, train_chars: int = 20_000) -> Params | None:
+    part = C.labelled(docs, labels, label, modulus, held, train_rows, per_class=True).select("doc_id", C.excerpt(F.col("text"), train_chars).alias("text"), "label")
+
+    def learn(rows: pa.Table):
+        # in slices, as the arrays over a text's bytes take many times its size
+        parts = [Words(b.column(0)) for b in C.slices(iter(rows.select(["text"]).to_batches()), "text")]
+        return train(Words.joined(parts), rows["label"].to_numpy())
+
+    return C.fitted(part, learn)
 
 
 def score(docs: DataFrame, params: Params | None, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
