@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import pickle
 import shutil
 import tempfile
@@ -53,6 +54,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def group_order(group: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The order by group and then by hash, so that equal hashes of a group lie together.
+
+    One sort of 64-bit values, group above the hash's upper bits; where two hashes agree in those, both are compared.
+    """
+    bits = int(group.max()).bit_length() if len(group) else 0
+    if bits <= 32:
+        packed = h >> np.uint64(bits)
+        if bits:
+            packed = packed | group.astype(np.uint64) << np.uint64(64 - bits)
+        order = np.argsort(packed)
+        if bits == 0:
+            return order
+        p, v = packed[order], h[order]
+        if not ((p[1:] == p[:-1]) & (v[1:] != v[:-1])).any():
+            return order
+    return np.lexsort((h, group))
+
+
 class Scan:
     """Words of some texts, found and hashed on their UTF-8 bytes without a Python object per word.
 
@@ -132,13 +152,13 @@ def by_text(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return c[off[1:]] - c[off[:-1]]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds at most so many bytes of a text column (or one row)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES, kind: pa.DataType = pa.large_string()) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds at most so many bytes of a text (or binary) column, or one row."""
     for b in batches:
         if not b.num_rows:
             continue
         c = b.column(b.schema.get_field_index(column))
-        c = c.cast(pa.large_string())
+        c = c.cast(kind)
         off = np.frombuffer(c.buffers()[1], np.int64, len(c) + 1, c.offset * 8)
         at = 0
         while at < len(c):
@@ -190,15 +210,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Deletes checkpoint tables, once all that was built on them is itself written."""
+    """Deletes checkpoint tables, once all that was built on them is itself written, and lets Spark's cleaner remove the
+    shuffle files of what nothing refers to any more."""
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._checkpoint_path)
         path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
-def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a checkpointed table of narrow rows for broadcast only if it was counted to be small."""
-    return F.broadcast(df) if df.count() <= most else df
+def small_side(df: DataFrame, lists: str | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a checkpointed table of narrow rows (and of lists with few entries in all) for broadcast only if it was
+    counted to be small; else joins shuffle."""
+    if lists is None:
+        return F.broadcast(df) if df.count() <= most else df
+    n, entries = df.agg(F.count("*"), F.sum(F.size(lists))).first()
+    return F.broadcast(df) if n <= most and (entries or 0) <= 5 * most else df
 
 
 def fitted(sample: DataFrame, train: Callable[[pa.Table], object], order: str = "doc_id"):

@@ -2,48 +2,64 @@
 
 A line's set is its distinct words (A-Z lower-cased). A line goes if an earlier one, by (doc_id, line number), is
 similar: 100 * intersection >= percent * union. Lines with fewer than ``min_words`` words stay and make none go. Lines
-of equal sets are one class, of which all but the first go, so copies are never paired.
-
-Between classes: words are ordered from rare to frequent, by their counts over all lines in BINS hashed bins (ties by
-hash); two similar sets share a word within their prefixes (n - ceil(n * percent / 100) + 1 words). Pairs that meet on
-a prefix word pass the length filter, the positional filter (what can still be shared after that word) and a filter on 64-bit marks of the
-sets' words (no more bits may differ than similar sets can differ in words), none of which loses a pair, and are then
-verified on the whole lines. A class whose similar classes begin earlier than a line's place makes that line go: first
-each class asks one other, the earliest of a word that it shares most prefix words with; only classes that this
-doesn't settle meet all that can be earlier, so that the copies of a line aren't paired with one another.
-
-Null texts have no lines. Rows with one doc_id and text share a place, so none makes the other go. Documents with a
-null doc_id keep all lines.
+of equal sets are one class, of which all but the first go, so copies are never paired. What is left to find is whether
+the first line of a class has an earlier similar class.
+
+Between classes: words are ordered from rare to frequent, by their counts over all texts in 2**BINS hashed bins (ties by
+hash); two similar sets share a word within their prefixes (n - ceil(n * percent / 100) + 1 words). A word of over CHAIN
+occurrences isn't met alone but with the next word that two sets share, which lies within one word more. What meets on a
+word passes the length filter, the positional filter (what can still be shared after that word) and a filter on 64
+parities of the sets' words (no more of them may differ than similar sets can differ in words), none of which loses a
+pair. In a word's list a class first asks the ASKED earliest classes that pass, and these pairs are verified on the
+whole sets. Only classes that this doesn't settle, and that had more to ask, then meet all earlier ones; so the members
+of a large family of similar lines aren't all paired with one another.
+
+Prefixes travel as blocks of arrays for a part of the words each, and are compared there in numpy.
+
+Null texts have no lines; empty lines stay. Rows with one doc_id and text share a place, so none makes the other go.
+Documents with a null doc_id keep all lines. Doc_ids are of any type that orders.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .minhash import shingle_sets
 
-BINS = 16
+BINS = 18
+#: Occurrences from which on a word of a prefix is met together with the next shared word.
+CHAIN = 20_000
+#: Earlier classes that a class asks in one word's list before what it asked is verified.
+ASKED = 2
+#: Prefix words compared in one task.
+PART = 400_000
+#: Prefix words that a task gathers before it deals them out.
+FLUSH = 500_000
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 class _Lines:
-    def __init__(self, texts: pa.Array):
+    """Lines of some texts with their distinct words in the order of ``rank`` (of hashed bins), or of their hashes."""
+
+    def __init__(self, texts: pa.Array, rank: np.ndarray | None = None):
         s = C.Scan(texts, lower=True)
         h = s.word_hash()
-        first = np.unique(np.concatenate((s.off[:-1][np.diff(s.off) > 0], np.flatnonzero(s.data == 10) + 1)))
+        first = np.concatenate((s.off[:-1][np.diff(s.off) > 0], np.flatnonzero(s.data == 10) + 1))
         # a break at a text's end begins an empty line there, which has no words: leaving it out moves no number
-        first = first[first < len(s.data)]
+        first = np.unique(first[first < len(s.data)])
         self.doc = np.searchsorted(s.off, first, "right") - 1
         begin = np.searchsorted(first, s.off)
         self.no = np.arange(len(first)) - begin[self.doc]
         at = np.searchsorted(s.start, np.append(first, len(s.data)))
         self.words = np.diff(at)
-        self.n_lines = np.diff(begin)
         line = np.repeat(np.arange(len(first)), self.words)
-        order = np.lexsort((h, line))
+        # the bin is the hash's first bits, so its rank in their place keeps equal words together
+        key = h if rank is None else rank[(h >> np.uint64(64 - BINS)).astype(np.int64)] | (h & np.uint64((1 << 64 - BINS) - 1))
+        order = C.group_order(line, key)
         line, h = line[order], h[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
@@ -57,132 +73,298 @@ def _text(b: pa.RecordBatch) -> pa.Array:
     return b.column(b.schema.get_field_index("text"))
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """Lines' words in 2**BINS hashed bins, over all rows. The array's size doesn't follow the input."""
+def _blobs(values: np.ndarray, off: np.ndarray) -> pa.Array:
+    """A binary for each run of values between offsets."""
+    values = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _joined(column: pa.Array, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
-    def run(batches):
-        total = np.zeros(1 << BINS, np.int64)
-        for b in C.slices(batches, "text"):
-            total += np.bincount((_Lines(_text(b)).token >> np.uint64(64 - BINS)).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bin", "n"])
 
-    got = docs.select("text").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << BINS, np.int64)
-    out[got["bin"].to_numpy()] = got["n"].to_numpy()
+def histogram(df: DataFrame, column: str, hashes, bits: int) -> np.ndarray:
+    """How many hashes (of the batches' column) fall into each of 2**bits bins, over all rows. Tasks send blocks of
+    counts that others add up; the driver gets 2**bits numbers, whatever the input."""
+    width = 1 << max(0, bits - 6)
+
+    def count(batches):
+        total = np.zeros(1 << bits, np.int64)
+        for b in C.slices(batches, column) if column == "text" else batches:
+            total += np.bincount((hashes(b) >> np.uint64(64 - bits)).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        off = np.searchsorted(at, np.arange(0, len(total) + 1, width))
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(off) - 1, dtype=np.int32)), _blobs((at % width).astype(np.int32), off), _blobs(total[at], off)], ["part", "at", "n"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, at, n in zip(*(c.to_pylist() for c in b.columns)):
+                own = total.setdefault(part, np.zeros(width, np.int64))
+                own[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["part", "n"])
+
+    rows = df.select(column).mapInArrow(count, "part int, at binary, n binary").repartitionById((1 << bits) // width, F.col("part")).mapInArrow(add, "part int, n binary").collect()
+    out = np.zeros(1 << bits, np.int64)
+    for r in rows:
+        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["n"], np.int64)
     return out
 
 
-def _classes(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, th, line, key_a, key_b, n) of every line with enough words."""
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc, th, text) with whole numbers that order as doc_id does; the table of numbers, unless they are the ids."""
+    docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    if docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return docs.select(F.col("doc_id").cast("long").alias("doc"), "th", "text"), None
+    ids = docs.select("doc_id").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ids = C.checkpoint(ids.select("doc_id", F.monotonically_increasing_id().alias("doc")))
+    return docs.join(ids, "doc_id").select("doc", "th", "text"), ids
+
+
+def _rows(docs: DataFrame, shared, min_words: int, percent: int) -> DataFrame:
+    """(doc, th, line, key_a, key_b, n, bits, keys, at) of every line with enough words: the set's key, size and
+    parities, and the words of its prefix with their places."""
 
     def run(batches):
+        rank, hot = shared.value
         for b in C.slices(batches, "text"):
-            x = _Lines(_text(b))
-            ok = np.flatnonzero(x.words >= min_words)
-            take = pa.array(x.doc[ok])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(x.no[ok].astype(np.int32)), *(pa.array(k[ok]) for k in x.key), pa.array(x.size[ok].astype(np.int32))], ["doc_id", "th", "line", "key_a", "key_b", "n"])
+            x = _Lines(_text(b), rank)
+            ok = np.flatnonzero((x.words >= min_words) & (x.size > 0))
+            n = x.size
+            # sets of few words can only equal one another
+            most = np.where(100 * n >= percent * (n + 1), n - (-(-n * percent // 100)) + 1, 0) * (x.words >= min_words)
+            at = np.arange(len(x.line)) - x.off[x.line]
+            take = np.flatnonzero(at < most[x.line])
+            line, at, key = x.line[take], at[take], x.token[take] & _LOW
+            chained = hot[(x.token[take] >> np.uint64(64 - BINS)).astype(np.int64)]
+            if chained.any():
+                c = np.flatnonzero(chained)
+                many = np.minimum(most[line[c]], n[line[c]] - 1) - at[c]
+                k = np.repeat(c, many)
+                then = np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many) + at[k] + 1
+                pair = C.mix(x.token[take][k] * C._P + x.token[x.off[line[k]] + then]) & _LOW
+                line, at, key = (np.concatenate((v[~chained], w)) for v, w in ((line, line[k]), (at, at[k]), (key, pair)))
+                order = np.argsort(line, kind="stable")
+                line, at, key = line[order], at[order], key[order]
+            off = np.append(np.searchsorted(line, ok), np.searchsorted(line, ok[-1], "right")) if len(ok) else np.zeros(1, np.int64)
+            bits = np.zeros(len(n), np.uint64)
+            if len(x.token):
+                bits[n > 0] = np.bitwise_xor.reduceat(np.uint64(1) << (C.mix(x.token) >> np.uint64(58)), x.off[:-1][n > 0])
+            of = pa.array(x.doc[ok])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(of), b.column(1).take(of), pa.array(x.no[ok].astype(np.int32)), *(pa.array(k[ok]) for k in x.key), pa.array(n[ok].astype(np.int32)), pa.array(bits[ok].view(np.int64)), _blobs(key.astype(np.uint32), off), _blobs(at.astype(np.uint32), off)],
+                ["doc", "th", "line", "key_a", "key_b", "n", "bits", "keys", "at"],
+            )
+
+    return docs.select("doc", "th", "text").mapInArrow(run, "doc long, th long, line int, key_a long, key_b long, n int, bits long, keys binary, at binary")
+
+
+#: What travels of a prefix word: its hash, its class (place and a part of the key), size, place in the set, parities, and
+#: whether its class asks others.
+_POSTING = {"key": np.uint32, "doc": np.int64, "line": np.int32, "tag": np.int32, "n": np.int32, "at": np.uint32, "bits": np.int64, "asks": np.uint8}
+
+
+def _dealt(classes: DataFrame, parts: int, wanted=None) -> DataFrame:
+    """Prefix words of classes (doc, line, tag, n, bits, asks, keys, at), dealt into parts by their hash, in blocks. With
+    wanted, only of bins that it marks."""
+
+    def flush(held):
+        key, *rest = (np.concatenate([h[k] for h in held]) for k in _POSTING)
+        part = (C.mix(key) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        own, first = np.unique(part[order], return_index=True)
+        off = np.append(first, len(part))
+        yield pa.RecordBatch.from_arrays([pa.array(own), *(_blobs(v[order].astype(kind), off) for v, kind in zip((key, *rest), _POSTING.values()))], ["part", *_POSTING])
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            get = {k: b.column(b.schema.get_field_index(k)) for k in b.schema.names}
+            key, at = _joined(get["keys"], np.uint32), _joined(get["at"], np.uint32)
+            of = np.repeat(np.arange(b.num_rows), pc.binary_length(get["keys"]).to_numpy() // 4)
+            if wanted is not None:
+                ok = wanted.value[key >> np.uint32(32 - WANTED)]
+                key, at, of = key[ok], at[ok], of[ok]
+            if not len(key):
+                continue
+            held.append({"key": key, "at": at} | {k: get[k].to_numpy()[of] for k in ("doc", "line", "tag", "n", "bits", "asks")})
+            size += len(key)
+            if size >= FLUSH:
+                yield from flush(held)
+                held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    out = classes.select("doc", "line", "tag", "n", "bits", "asks", "keys", "at").mapInArrow(run, "part int, " + ", ".join(f"{k} binary" for k in _POSTING))
+    return out.repartitionById(parts, F.col("part"))
+
+
+#: Words to be met again are marked in 2**WANTED bins.
+WANTED = 20
+
+
+def meet(p: dict[str, np.ndarray], percent: int, asked: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (b, a) of prefix words of one hash, a's class earlier than b's, that pass the filters; and whether each
+    word's class may have more to ask, because it stopped after ``asked``."""
+    m = len(p["key"])
+    if not m:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    order = np.lexsort((p["line"], p["doc"]))
+    change = np.zeros(m, bool)
+    change[1:] = (p["doc"][order][1:] != p["doc"][order][:-1]) | (p["line"][order][1:] != p["line"][order][:-1])
+    place = np.empty(m, np.int64)
+    place[order] = np.cumsum(change)
+    n, at = p["n"].astype(np.int64), p["at"].astype(np.int64)
+    # sizes of similar sets lie in the same or in neighbouring bands
+    band = np.floor(np.log(n) / np.log(100 / percent * 1.001)).astype(np.int64) + 1 if percent < 100 else n
+    list_of = p["key"].astype(np.int64) << 16 | np.minimum(band, (1 << 16) - 2)
+    order = np.lexsort((place, list_of))
+    place, n, at, list_of, bits, asks = place[order], n[order], at[order], list_of[order], p["bits"][order].view(np.uint64), p["asks"][order] > 0
+    # the smaller of two similar sets has their first shared word within this
+    early = at < n - (-(-2 * percent * n // (100 + percent))) + 1
+
+    def lists(of: np.ndarray):
+        names, first = np.unique(list_of[of], return_index=True)
+        return of, names, first, np.repeat(np.arange(len(names)), np.diff(np.append(first, len(of)))) << 40 | place[of]
+
+    every = lists(np.arange(m))
+    less = lists(np.flatnonzero(early))
+    found, tried, could = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64)
+    bs, as_ = [], []
+    for step, (of, names, first, ranked) in ((0, every), (-1, less), (1, every)):
+        if not len(names):
+            continue
+        b = np.flatnonzero(asks & early) if step == 1 else np.flatnonzero(asks)
+        own = np.searchsorted(names, list_of[b] + step)
+        ok = own < len(names)
+        ok[ok] = names[own[ok]] == list_of[b][ok] + step
+        b, own = b[ok], own[ok]
+        low, high = first[own], np.searchsorted(ranked, own << 40 | place[b])
+        could[b] += high - low
+        go = (high > low) & ((found[b] < asked) if asked else True)
+        b, low, high = b[go], low[go], high[go]
+        while len(b):
+            a = of[low]
+            na, nb = n[a], n[b]
+            near = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * np.minimum(na - at[a], nb - at[b]) >= percent * (na + nb))
+            ok = np.flatnonzero(near)
+            ok = ok[(100 + percent) * np.bitwise_count(bits[a[ok]] ^ bits[b[ok]]).astype(np.int64) <= (100 - percent) * (na + nb)[ok]]
+            bs.append(order[b[ok]])
+            as_.append(order[a[ok]])
+            tried[b] += 1
+            found[b[ok]] += 1
+            low = low + 1
+            go = low < high
+            if asked:
+                go &= found[b] < asked
+            b, low, high = b[go], low[go], high[go]
+    more = np.zeros(m, bool)
+    more[order] = could > tried
+    return np.concatenate(bs or [order[:0]]), np.concatenate(as_ or [order[:0]]), more
+
+
+def _pairs(dealt: DataFrame, percent: int, asked: int | None) -> DataFrame:
+    """(b, a, more): classes by place and tag, a earlier than b; more, if b may have others to ask."""
+    names = ("doc", "line", "tag")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th long, line int, key_a long, key_b long, n int")
+    def run(batches):
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        # a task may hold several parts: their words differ, so they are compared as one
+        p = {k: np.concatenate([_joined(b.column(b.schema.get_field_index(k)), kind) for b in rows]) for k, kind in _POSTING.items()}
+        b, a, more = meet(p, percent, asked)
+        yield pa.RecordBatch.from_arrays([*(pa.array(p[k][b]) for k in names), *(pa.array(p[k][a]) for k in names), pa.array(more[b])], [*(f"b_{k}" for k in names), *(f"a_{k}" for k in names), "more"])
 
+    return dealt.mapInArrow(run, "b_doc long, b_line int, b_tag int, a_doc long, a_line int, a_tag int, more boolean")
 
-def _postings(docs: DataFrame, counts, min_words: int, percent: int) -> DataFrame:
-    """(token, key_a, place, bits, lead) of prefix words that several classes have.
 
-    place holds the set's size and the word's position, lead is the class's least doc_id.
-    """
+_B, _A = ["b_doc", "b_line", "b_tag"], ["a_doc", "a_line", "a_tag"]
 
-    def run(batches):
-        seen = counts.value
+
+def _later(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(b) of the checkpointed pairs whose whole sets are similar."""
+    side = lambda names: pairs.select(F.col(names[0]).alias("doc"), F.col(names[1]).alias("line"))
+    need = C.checkpoint(side(_B).union(side(_A)).groupBy("doc").agg(F.collect_set("line").alias("lines")))
+
+    def sets(batches):
         for b in C.slices(batches, "text"):
             x = _Lines(_text(b))
-            often = np.minimum(seen[(x.token >> np.uint64(64 - BINS)).astype(np.int64)], (1 << 31) - 1).astype(np.uint64)
-            order = np.lexsort(((often << np.uint64(32)) | (x.token & np.uint64(0xFFFFFFFF)), x.line))
-            line = x.line[order]
-            at = np.arange(len(line)) - x.off[line]
-            n = x.size[line]
-            # sets of few words can only equal one another
-            ok = (at < n - (-(-n * percent // 100)) + 1) & (100 * n >= percent * (n + 1)) & (x.words[line] >= min_words)
-            place = n[ok].astype(np.int64) << 32 | at[ok]
-            marks = np.bitwise_or.reduceat(np.uint64(1) << (C.mix(x.token) >> np.uint64(58)), x.off[:-1][x.size > 0]) if len(x.token) else x.token
-            bits = np.zeros(len(x.size), np.uint64)
-            bits[x.size > 0] = marks
-            yield pa.RecordBatch.from_arrays([pa.array(x.token[order][ok].view(np.int64)), pa.array(x.key[0][line[ok]]), pa.array(place), pa.array(bits[line[ok]].view(np.int64)), b.column(0).take(pa.array(x.doc[line[ok]]))], ["token", "key_a", "place", "bits", "lead"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    p = docs.select("doc_id", "text").mapInArrow(run, f"token long, key_a long, place long, bits long, lead {kind}").groupBy("token", "key_a").agg(F.min("place").alias("place"), F.min("bits").alias("bits"), F.min("lead").alias("lead"))
-    several = p.groupBy("token").agg(F.min("key_a").alias("lo"), F.max("key_a").alias("hi")).where("lo != hi").select("token")
-    return C.checkpoint(p.join(several, "token"))
-
-
-def _near(percent: int):
-    """Whether sides (a, place pa, bits ba) and (b, pb, bb) that meet on a word can be similar."""
-    na, nb, ia, ib = F.shiftright("pa", 32), F.shiftright("pb", 32), F.col("pa").bitwiseAND(0xFFFFFFFF), F.col("pb").bitwiseAND(0xFFFFFFFF)
-    room = F.least(na - ia, nb - ib)
-    # 100 * o >= percent * (na + nb - o)
-    near = (F.col("a") != F.col("b")) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * room >= percent * (na + nb))
-    # each bit that differs needs a word that only one of the sets has
-    return near & ((100 + percent) * F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) <= (100 - percent) * (na + nb))
-
-
-def removed(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame:
-    """(doc_id, th, line) of every line that goes; th is a hash of the text."""
-    docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    counts = docs.sparkSession.sparkContext.broadcast(word_counts(docs))
-    lines = C.checkpoint(_classes(docs, min_words))
-    firsts = C.checkpoint(lines.groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "line", "th")).alias("first")))
-    p = _postings(docs, counts, min_words, percent)
-    side = lambda c: (F.col("key_a").alias(c), F.col("place").alias(f"p{c}"), F.col("bits").alias(f"b{c}"), F.col("lead").alias(f"l{c}"))
-    right = p.select("token", *side("b"))
-    # each class asks one other: of the earliest of its words, the one that most of them have
-    heads = p.groupBy("token").agg(F.min(F.struct("lead", "key_a", "place", "bits")).alias("h")).select("token", "h.*").select("token", *side("a"))
-    asked = right.join(heads, "token").where(_near(percent)).groupBy("b", "a").agg(F.count("*").alias("c")).groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select("x.a", "b")
-    links = _verified(docs, firsts, C.checkpoint(asked), percent)
-    # whose line is known to go needs no other link; the rest meet all classes that can be earlier
-    at = lambda c: F.struct(f"{c}.doc_id", f"{c}.line")
-    done = links.select(F.when(at("fa") < at("fb"), F.col("fb")).when(at("fb") < at("fa"), F.col("fa")).alias("first")).where("first IS NOT NULL").distinct()
-    done = C.small_side(C.checkpoint(firsts.join(done, "first", "left_semi").select(F.col("key_a").alias("b")).distinct()))
-    rest = p.select("token", *side("a")).join(right.join(done, "b", "left_anti"), "token").where(_near(percent) & (F.col("la") <= F.col("lb")))
-    links = links.union(_verified(docs, firsts, C.checkpoint(rest.select("a", "b").distinct()), percent))
-    sides = links.select(F.col("fa").alias("first"), F.col("fb").alias("than")).union(links.select(F.col("fb").alias("first"), F.col("fa").alias("than")))
-    sooner = sides.groupBy("first").agg(F.min("than").alias("than"))
-    named = firsts.join(sooner, "first", "left").select("key_a", "key_b", F.least("first", F.coalesce("than", "first")).alias("earliest"))
-    place, earliest = F.struct("doc_id", "line"), F.struct(F.col("earliest.doc_id").alias("doc_id"), F.col("earliest.line").alias("line"))
-    return lines.join(named, ["key_a", "key_b"]).where(earliest < place).select("doc_id", "th", "line")
-
-
-def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(fa, fb) first places of similar classes, from the whole lines."""
-    side = lambda c: firsts.select(F.col("key_a").alias(c), F.col("first").alias(f"f{c}"))
-    named = C.checkpoint(pairs.join(side("a"), "a").join(side("b"), "b").select("fa", "fb"))
-    need = C.checkpoint(named.select(F.col("fa").alias("f")).union(named.select("fb")).distinct().select(F.col("f.doc_id").alias("doc_id"), F.col("f.th").alias("th"), F.col("f.line").alias("line")))
-    ids = C.checkpoint(need.select("doc_id", "th").distinct())
-    texts = docs.join(C.small_side(ids), ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"]).select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    texts = C.checkpoint(texts.join(C.small_side(need), ["doc_id", "th", "line"], "left_semi").select(F.struct("doc_id", "line", "th").alias("f"), "words"))
+            lists = b.column(b.schema.get_field_index("lines"))
+            flat = lists.flatten().to_numpy().astype(np.int64)
+            want = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy())) << 32 | flat
+            ok = np.flatnonzero(np.isin(x.doc << 32 | x.no, want) & (x.size > 0))
+            off = np.append(0, np.cumsum(x.size[ok]))
+            token = x.token[np.repeat(x.off[ok] - off[:-1], x.size[ok]) + np.arange(off[-1])]
+            of = pa.array(x.doc[ok])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), pa.array(x.no[ok].astype(np.int32)), pa.array((x.key[0][ok] & 0xFFFFFFFF).astype(np.uint32).view(np.int32)), _blobs(token, off)], ["doc", "line", "tag", "words"])
+
+    lines = docs.join(C.small_side(need, "lines"), "doc").select("doc", "lines", "text").mapInArrow(sets, "doc long, line int, tag int, words binary")
+    lines = C.checkpoint(lines.dropDuplicates(["doc", "line", "tag"]))
+    C.release(need)
 
     def run(batches):
-        for b in C.slices(C.slices(batches, "ta"), "tb"):
-            (ga, oa), (gb, ob) = (shingle_sets(b.column(k), 1) for k in (2, 3))
-            pair = np.concatenate((np.repeat(np.arange(b.num_rows), np.diff(oa)), np.repeat(np.arange(b.num_rows), np.diff(ob))))
-            both = np.concatenate((ga, gb))
-            order = np.lexsort((both, pair))
+        for b in C.slices(C.slices(batches, "x", kind=pa.large_binary()), "y", kind=pa.large_binary()):
+            (ga, na), (gb, nb) = ((_joined(c, np.uint64), pc.binary_length(c).to_numpy() // 8) for c in b.columns[3:])
+            # a pair's hashes side by side: what is in both follows itself
+            pair, both = np.concatenate((np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb))), np.concatenate((ga, gb))
+            order = C.group_order(pair, both)
             p, g = pair[order], both[order]
             same = np.bincount(p[1:][(p[1:] == p[:-1]) & (g[1:] == g[:-1])], minlength=b.num_rows)
-            ok = pa.array(100 * same >= percent * (np.diff(oa) + np.diff(ob) - same))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["fa", "fb"])
+            ok = pa.array(100 * same >= percent * (na + nb - same))
+            yield pa.RecordBatch.from_arrays([c.filter(ok) for c in b.columns[:3]], _B)
 
-    joined = named.join(texts.select(F.col("f").alias("fa"), F.col("words").alias("ta")), "fa").join(texts.select(F.col("f").alias("fb"), F.col("words").alias("tb")), "fb").select("fa", "fb", "ta", "tb")
-    kind = named.schema["fa"].dataType.simpleString()
-    return C.checkpoint(joined.mapInArrow(run, f"fa {kind}, fb {kind}"))
+    of = lambda names, c: lines.select(F.col("doc").alias(names[0]), F.col("line").alias(names[1]), F.col("tag").alias(names[2]), F.col("words").alias(c))
+    joined = pairs.join(of(_B, "x"), _B).join(of(_A, "y"), _A).select(*_B, "x", "y")
+    out = C.checkpoint(joined.mapInArrow(run, "b_doc long, b_line int, b_tag int").distinct())
+    C.release(lines)
+    return out
 
 
-def deduplicated(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame:
+def removed(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFrame:
+    """(doc_id, th, line) of every line that goes; th is a hash of the text."""
+    kind = docs.schema["doc_id"].dataType
+    spark = docs.sparkSession
+    docs, ids = _numbered(docs)
+    counts = histogram(docs, "text", lambda b: C.Scan(_text(b), lower=True).word_hash(), BINS)
+    # over 50 percent, sets that can be similar without being equal share two words at least
+    rank = np.empty(len(counts), np.uint64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint64) << np.uint64(64 - BINS)
+    rows = C.checkpoint(_rows(docs, spark.sparkContext.broadcast((rank, (counts > CHAIN) & (percent > 50))), min_words, percent))
+    first = F.min(F.struct("doc", "line")).alias("first")
+    classes = C.checkpoint(rows.groupBy("key_a", "key_b").agg(first, F.count("*").alias("lines"), *(F.first(c).alias(c) for c in ("n", "bits", "keys", "at"))).select("key_a", "key_b", "first.doc", "first.line", F.expr("cast(((key_a & 4294967295) ^ 2147483648) - 2147483648 as int)").alias("tag"), "lines", "n", "bits", "keys", "at"))
+    places = C.checkpoint(rows.select("doc", "th", "line", "key_a", "key_b"))
+    C.release(rows)
+    some = classes.where(F.length("keys") > 0)
+    size = some.agg(F.sum(F.length("keys") / 4)).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size / PART) + 1)
+    asks = lambda df, flag: df.select("doc", "line", "tag", "n", "bits", "keys", "at", flag.cast("byte").alias("asks"))
+    found = _pairs(_dealt(asks(some, F.lit(1)), parts), percent, ASKED)
+    pairs = C.checkpoint(found.groupBy(*_B, *_A).agg(F.max("more").alias("more")))
+    later = _later(docs, pairs, percent)
+    # who isn't settled and had more to ask now meets all that are earlier
+    left = C.checkpoint(pairs.where("more").select(*_B).distinct().join(later, _B, "left_anti").toDF("doc", "line", "tag").withColumn("open", F.lit(True)))
+    if left.head(1):
+        some = asks(some.join(C.small_side(left), ["doc", "line", "tag"], "left"), F.coalesce("open", F.lit(False)))
+        bins = histogram(some.where("asks = 1"), "keys", lambda b: _joined(b.column(0), np.uint32).astype(np.uint64) << np.uint64(32), WANTED)
+        found = _pairs(_dealt(some, parts, spark.sparkContext.broadcast(bins > 0)), percent, None)
+        rest = C.checkpoint(found.select(*_B, *_A).distinct().join(pairs, [*_B, *_A], "left_anti"))
+        later = later.union(_later(docs, rest, percent))
+    known = classes.select("key_a", "key_b", "doc", "line", "tag", "lines").join(later.toDF("doc", "line", "tag").withColumn("later", F.lit(True)), ["doc", "line", "tag"], "left")
+    known = C.checkpoint(known.where("lines > 1 or later").select("key_a", "key_b", F.struct("doc", "line").alias("first"), F.coalesce("later", F.lit(False)).alias("later")))
+    C.release(classes, pairs)
+    out = places.join(C.small_side(known), ["key_a", "key_b"]).where(F.col("later") | (F.struct("doc", "line") > F.col("first"))).select("doc", "th", "line")
+    return out.join(ids, "doc").select("doc_id", "th", "line") if ids is not None else out.select(F.col("doc").cast(kind).alias("doc_id"), "th", "line")
+
+
+def deduplicated(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFrame:
     """docs with their own columns, the text without the lines that go, and __n_lines and __n_removed beside."""
     gone = C.checkpoint(removed(docs, percent, min_words).groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("line").alias("__gone")))
     split = F.split(docs["text"], "\n")
     kept = F.filter(split, lambda x, i: ~F.array_contains(gone["__gone"], i))
     text = F.when(gone["__gone"].isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
     n_lines = F.when(docs["text"].isNull(), 0).otherwise(F.size(split)).cast("long")
-    out = docs.join(gone, (docs["doc_id"] == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__th"]), "left")
+    out = docs.join(C.small_side(gone, "__gone"), (docs["doc_id"] == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__th"]), "left")
     return out.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns], n_lines.alias("__n_lines"), F.coalesce(F.size(gone["__gone"]), F.lit(0)).cast("long").alias("__n_removed"))

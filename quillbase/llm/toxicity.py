@@ -23,7 +23,7 @@ WINDOW, STEP = 32, 28
 WORD_BITS, PIECE_BITS = 15, 15
 WORD_DIM, PIECE_DIM, HIDDEN, ATTEND = 8, 16, 8, 4
 #: Windows scored at once, which the cache holds.
-BLOCK = 2048
+BLOCK = 4096
 _CORE = np.zeros(256, bool)
 _CORE[48:58] = _CORE[97:123] = _CORE[128:] = True
 Params = dict[str, np.ndarray]

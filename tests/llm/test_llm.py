@@ -114,10 +114,48 @@ def test_lines(docs, least):
     assert {(r["doc_id"], r["line"]) for r in line_dedup.removed(docs, 80, least).collect()} == brute_lines(least)
 
 
+def line_family(spark):
+    """Lines of few words that make long lists, families of similar lines, and ids of strings."""
+    r = np.random.default_rng(12)
+    texts = []
+    for i in range(120):
+        base = [f"v{x}" for x in r.choice(12, 6, replace=False)]
+        rows = [" ".join(base)]
+        for _ in range(3):
+            w = [f"t{x}" for x in range(14)]
+            for at in r.choice(14, int(r.integers(0, 4)), replace=False):
+                w[at] = f"u{r.integers(0, 40)}"
+            rows.append(" ".join(w))
+        texts.append("\n".join(rows))
+    return texts
+
+
+@pytest.mark.parametrize("chain,asked,kind", [(20_000, 1, "long"), (3, 1, "long"), (3, 2, "string")])
+def test_lines_chains(spark, monkeypatch, chain, asked, kind):
+    monkeypatch.setattr(line_dedup, "CHAIN", chain)
+    monkeypatch.setattr(line_dedup, "ASKED", asked)
+    monkeypatch.setattr(line_dedup, "PART", 500)
+    texts = line_family(spark)
+    ids = [i if kind == "long" else f"id{i:04d}" for i in range(len(texts))]
+    d = spark.createDataFrame([(i, t) for i, t in zip(ids, texts)] + [(None, texts[0])], f"doc_id {kind}, text string").repartition(3)
+    lines = [(i, k, frozenset(s.split())) for i, t in zip(ids, texts) for k, s in enumerate(t.split("\n"))]
+    want = {(i, k) for i, k, s in lines if any((j, m) < (i, k) and 100 * len(s & o) >= 80 * len(s | o) for j, m, o in lines)}
+    assert 60 < len(want) < 480
+    assert {(r["doc_id"], r["line"]) for r in line_dedup.removed(d).collect()} == want
+
+
+def test_lines_repeats(spark):
+    # rows of one doc_id share places; a null id or text takes no part; clashing columns stay
+    rows = [(7, "a b c\nx", 1), (7, "a b c\nx", 2), (7, "a b c\ny", 3), (9, "c b a\nnew", 4), (None, "a b c", 5), (3, None, 6), (8, "", 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, __gone int")
+    got = sorted((r["__gone"], r["text"], r["__n_removed"]) for r in line_dedup.deduplicated(d).withColumn("text", F.coalesce("text", F.lit("-"))).collect())
+    assert got == [(1, "a b c\nx", 0), (2, "a b c\nx", 0), (3, "a b c\ny", 0), (4, "new", 1), (5, "a b c", 0), (6, "-", 0), (7, "", 0)]
+
+
 def test_lines_rows(docs):
     out = line_dedup.deduplicated(docs)
     assert out.columns == [*docs.columns, "__n_lines", "__n_removed"]
-    gone = brute_lines(5)
+    gone = brute_lines(1)
     for r in out.collect():
         t = TEXTS[r["doc_id"]]
         assert r["text"] == (None if t is None else "\n".join(s for k, s in enumerate(t.split("\n")) if (r["doc_id"], k) not in gone))
