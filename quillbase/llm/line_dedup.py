@@ -8,11 +8,12 @@ the first line of a class has an earlier similar class.
 Between classes: words are ordered from rare to frequent, by their counts over all texts in 2**BINS hashed bins (ties by
 hash); two similar sets share a word within their prefixes (n - ceil(n * percent / 100) + 1 words). A word of over CHAIN
 occurrences isn't met alone but with the next word that two sets share, which lies within one word more. What meets on a
-word passes the length filter, the positional filter (what can still be shared after that word) and a filter on 64
+word passes the length filter, the positional filter (what can still be shared after that word) and a filter on 128
 parities of the sets' words (no more of them may differ than similar sets can differ in words), none of which loses a
-pair. In a word's list a class first asks the ASKED earliest classes that pass, and these pairs are verified on the
-whole sets. Only classes that this doesn't settle, and that had more to ask, then meet all earlier ones; so the members
-of a large family of similar lines aren't all paired with one another.
+pair. In a word's list a class first asks the ASKED earliest classes that pass; of what it asked, the class that it
+shares most words with is verified on the whole sets. Only classes that this doesn't settle try the others that they
+asked, and meet all earlier ones if they had more to ask; so the members of a large family of similar lines aren't all
+paired with one another.
 
 Prefixes travel as blocks of arrays for a part of the words each, and are compared there in numpy.
 
@@ -124,7 +125,7 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 
 def _rows(docs: DataFrame, shared, min_words: int, percent: int) -> DataFrame:
-    """(doc, th, line, key_a, key_b, n, bits, keys, at) of every line with enough words: the set's key, size and
+    """(doc, th, line, key_a, key_b, n, low, high, keys, at) of every line with enough words: the set's key, size and
     parities, and the words of its prefix with their places."""
 
     def run(batches):
@@ -149,25 +150,27 @@ def _rows(docs: DataFrame, shared, min_words: int, percent: int) -> DataFrame:
                 order = np.argsort(line, kind="stable")
                 line, at, key = line[order], at[order], key[order]
             off = np.append(np.searchsorted(line, ok), np.searchsorted(line, ok[-1], "right")) if len(ok) else np.zeros(1, np.int64)
-            bits = np.zeros(len(n), np.uint64)
+            bits = np.zeros((2, len(n)), np.uint64)
             if len(x.token):
-                bits[n > 0] = np.bitwise_xor.reduceat(np.uint64(1) << (C.mix(x.token) >> np.uint64(58)), x.off[:-1][n > 0])
+                bit = C.mix(x.token) >> np.uint64(57)
+                for k in (0, 1):
+                    bits[k, n > 0] = np.bitwise_xor.reduceat((bit >> np.uint64(6) == np.uint64(k)).astype(np.uint64) << (bit & np.uint64(63)), x.off[:-1][n > 0])
             of = pa.array(x.doc[ok])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(of), b.column(1).take(of), pa.array(x.no[ok].astype(np.int32)), *(pa.array(k[ok]) for k in x.key), pa.array(n[ok].astype(np.int32)), pa.array(bits[ok].view(np.int64)), _blobs(key.astype(np.uint32), off), _blobs(at.astype(np.uint32), off)],
-                ["doc", "th", "line", "key_a", "key_b", "n", "bits", "keys", "at"],
+                [b.column(0).take(of), b.column(1).take(of), pa.array(x.no[ok].astype(np.int32)), *(pa.array(k[ok]) for k in x.key), pa.array(n[ok].astype(np.int32)), *(pa.array(v[ok].view(np.int64)) for v in bits), _blobs(key.astype(np.uint32), off), _blobs(at.astype(np.uint32), off)],
+                ["doc", "th", "line", "key_a", "key_b", "n", "low", "high", "keys", "at"],
             )
 
-    return docs.select("doc", "th", "text").mapInArrow(run, "doc long, th long, line int, key_a long, key_b long, n int, bits long, keys binary, at binary")
+    return docs.select("doc", "th", "text").mapInArrow(run, "doc long, th long, line int, key_a long, key_b long, n int, low long, high long, keys binary, at binary")
 
 
 #: What travels of a prefix word: its hash, its class (place and a part of the key), size, place in the set, parities, and
 #: whether its class asks others.
-_POSTING = {"key": np.uint32, "doc": np.int64, "line": np.int32, "tag": np.int32, "n": np.int32, "at": np.uint32, "bits": np.int64, "asks": np.uint8}
+_POSTING = {"key": np.uint32, "doc": np.int64, "line": np.int32, "tag": np.int32, "n": np.int32, "at": np.uint32, "low": np.int64, "high": np.int64, "asks": np.uint8}
 
 
 def _dealt(classes: DataFrame, parts: int, wanted=None) -> DataFrame:
-    """Prefix words of classes (doc, line, tag, n, bits, asks, keys, at), dealt into parts by their hash, in blocks. With
+    """Prefix words of classes (doc, line, tag, n, low, high, asks, keys, at), dealt into parts by their hash, in blocks. With
     wanted, only of bins that it marks."""
 
     def flush(held):
@@ -189,7 +192,7 @@ def _dealt(classes: DataFrame, parts: int, wanted=None) -> DataFrame:
                 key, at, of = key[ok], at[ok], of[ok]
             if not len(key):
                 continue
-            held.append({"key": key, "at": at} | {k: get[k].to_numpy()[of] for k in ("doc", "line", "tag", "n", "bits", "asks")})
+            held.append({"key": key, "at": at} | {k: get[k].to_numpy()[of] for k in ("doc", "line", "tag", "n", "low", "high", "asks")})
             size += len(key)
             if size >= FLUSH:
                 yield from flush(held)
@@ -197,7 +200,7 @@ def _dealt(classes: DataFrame, parts: int, wanted=None) -> DataFrame:
         if held:
             yield from flush(held)
 
-    out = classes.select("doc", "line", "tag", "n", "bits", "asks", "keys", "at").mapInArrow(run, "part int, " + ", ".join(f"{k} binary" for k in _POSTING))
+    out = classes.select("doc", "line", "tag", "n", "low", "high", "asks", "keys", "at").mapInArrow(run, "part int, " + ", ".join(f"{k} binary" for k in _POSTING))
     return out.repartitionById(parts, F.col("part"))
 
 
@@ -221,7 +224,8 @@ def meet(p: dict[str, np.ndarray], percent: int, asked: int | None) -> tuple[np.
     band = np.floor(np.log(n) / np.log(100 / percent * 1.001)).astype(np.int64) + 1 if percent < 100 else n
     list_of = p["key"].astype(np.int64) << 16 | np.minimum(band, (1 << 16) - 2)
     order = np.lexsort((place, list_of))
-    place, n, at, list_of, bits, asks = place[order], n[order], at[order], list_of[order], p["bits"][order].view(np.uint64), p["asks"][order] > 0
+    place, n, at, list_of, asks = place[order], n[order], at[order], list_of[order], p["asks"][order] > 0
+    bits = [p[k][order] for k in ("low", "high")]
     # the smaller of two similar sets has their first shared word within this
     early = at < n - (-(-2 * percent * n // (100 + percent))) + 1
 
@@ -250,7 +254,8 @@ def meet(p: dict[str, np.ndarray], percent: int, asked: int | None) -> tuple[np.
             na, nb = n[a], n[b]
             near = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * np.minimum(na - at[a], nb - at[b]) >= percent * (na + nb))
             ok = np.flatnonzero(near)
-            ok = ok[(100 + percent) * np.bitwise_count(bits[a[ok]] ^ bits[b[ok]]).astype(np.int64) <= (100 - percent) * (na + nb)[ok]]
+            differ = sum(np.bitwise_count((v[a[ok]] ^ v[b[ok]]).view(np.uint64)).astype(np.int64) for v in bits)
+            ok = ok[(100 + percent) * differ <= (100 - percent) * (na + nb)[ok]]
             bs.append(order[b[ok]])
             as_.append(order[a[ok]])
             tried[b] += 1
@@ -334,27 +339,34 @@ def removed(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFrame
     rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint64) << np.uint64(64 - BINS)
     rows = C.checkpoint(_rows(docs, spark.sparkContext.broadcast((rank, (counts > CHAIN) & (percent > 50))), min_words, percent))
     first = F.min(F.struct("doc", "line")).alias("first")
-    classes = C.checkpoint(rows.groupBy("key_a", "key_b").agg(first, F.count("*").alias("lines"), *(F.first(c).alias(c) for c in ("n", "bits", "keys", "at"))).select("key_a", "key_b", "first.doc", "first.line", F.expr("cast(((key_a & 4294967295) ^ 2147483648) - 2147483648 as int)").alias("tag"), "lines", "n", "bits", "keys", "at"))
+    classes = C.checkpoint(rows.groupBy("key_a", "key_b").agg(first, F.count("*").alias("lines"), *(F.first(c).alias(c) for c in ("n", "low", "high", "keys", "at"))).select("key_a", "key_b", "first.doc", "first.line", F.expr("cast(((key_a & 4294967295) ^ 2147483648) - 2147483648 as int)").alias("tag"), "lines", "n", "low", "high", "keys", "at"))
     places = C.checkpoint(rows.select("doc", "th", "line", "key_a", "key_b"))
     C.release(rows)
     some = classes.where(F.length("keys") > 0)
     size = some.agg(F.sum(F.length("keys") / 4)).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size / PART) + 1)
-    asks = lambda df, flag: df.select("doc", "line", "tag", "n", "bits", "keys", "at", flag.cast("byte").alias("asks"))
+    asks = lambda df, flag: df.select("doc", "line", "tag", "n", "low", "high", "keys", "at", flag.cast("byte").alias("asks"))
     found = _pairs(_dealt(asks(some, F.lit(1)), parts), percent, ASKED)
-    pairs = C.checkpoint(found.groupBy(*_B, *_A).agg(F.max("more").alias("more")))
-    later = _later(docs, pairs, percent)
-    # who isn't settled and had more to ask now meets all that are earlier
-    left = C.checkpoint(pairs.where("more").select(*_B).distinct().join(later, _B, "left_anti").toDF("doc", "line", "tag").withColumn("open", F.lit(True)))
+    pairs = C.checkpoint(found.groupBy(*_B, *_A).agg(F.max("more").alias("more"), F.count("*").alias("shared")))
+    # of what a class asked, the one that it shares most words with is verified first
+    best = pairs.groupBy(*_B).agg(F.max(F.struct("shared", *_A)).alias("x"), F.count("*").alias("asked"), F.max("more").alias("more"))
+    best = C.checkpoint(best.select(*_B, *(F.col(f"x.{k}").alias(k) for k in _A), "asked", "more"))
+    later = _later(docs, best, percent)
+    # whom that doesn't settle then tries all that it asked, and all that it didn't if there is more
+    left = best.where("more or asked > 1").join(later, _B, "left_anti")
+    left = C.checkpoint(left.select(*_B, "more"))
     if left.head(1):
-        some = asks(some.join(C.small_side(left), ["doc", "line", "tag"], "left"), F.coalesce("open", F.lit(False)))
-        bins = histogram(some.where("asks = 1"), "keys", lambda b: _joined(b.column(0), np.uint32).astype(np.uint64) << np.uint64(32), WANTED)
-        found = _pairs(_dealt(some, parts, spark.sparkContext.broadcast(bins > 0)), percent, None)
-        rest = C.checkpoint(found.select(*_B, *_A).distinct().join(pairs, [*_B, *_A], "left_anti"))
+        rest = pairs.select(*_B, *_A).join(C.small_side(left).select(*_B), _B, "left_semi")
+        if left.where("more").head(1):
+            some = asks(some.join(C.small_side(left).where("more").select(*(F.col(k).alias(v) for k, v in zip(_B, ("doc", "line", "tag"))), F.lit(1).alias("open")), ["doc", "line", "tag"], "left"), F.coalesce("open", F.lit(0)))
+            bins = histogram(some.where("asks = 1"), "keys", lambda b: _joined(b.column(0), np.uint32).astype(np.uint64) << np.uint64(32), WANTED)
+            rest = rest.union(_pairs(_dealt(some, parts, spark.sparkContext.broadcast(bins > 0)), percent, None).select(*_B, *_A))
+        rest = C.checkpoint(rest.distinct().join(best, [*_B, *_A], "left_anti"))
         later = later.union(_later(docs, rest, percent))
+        C.release(rest)
     known = classes.select("key_a", "key_b", "doc", "line", "tag", "lines").join(later.toDF("doc", "line", "tag").withColumn("later", F.lit(True)), ["doc", "line", "tag"], "left")
     known = C.checkpoint(known.where("lines > 1 or later").select("key_a", "key_b", F.struct("doc", "line").alias("first"), F.coalesce("later", F.lit(False)).alias("later")))
-    C.release(classes, pairs)
+    C.release(classes, pairs, best, left)
     out = places.join(C.small_side(known), ["key_a", "key_b"]).where(F.col("later") | (F.struct("doc", "line") > F.col("first"))).select("doc", "th", "line")
     return out.join(ids, "doc").select("doc_id", "th", "line") if ids is not None else out.select(F.col("doc").cast(kind).alias("doc_id"), "th", "line")
 
