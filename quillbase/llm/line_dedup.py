@@ -36,10 +36,12 @@ BINS = 18
 CHAIN = 20_000
 #: Earlier classes that a class asks in one word's list before what it asked is verified.
 ASKED = 2
+#: Smaller sets have 64 parities, the folded ones.
+WIDE = 48
 #: Prefix words compared in one task.
 PART = 400_000
 #: Prefix words that a task gathers before it deals them out.
-FLUSH = 500_000
+FLUSH = 300_000
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -139,6 +141,7 @@ def _rows(docs: DataFrame, shared, min_words: int, percent: int) -> DataFrame:
             at = np.arange(len(x.line)) - x.off[x.line]
             take = np.flatnonzero(at < most[x.line])
             line, at, key = x.line[take], at[take], x.token[take] & _LOW
+            told = np.zeros(0, np.uint32)  # places, where they aren't simply 0, 1, 2 ...
             chained = hot[(x.token[take] >> np.uint64(64 - BINS)).astype(np.int64)]
             if chained.any():
                 c = np.flatnonzero(chained)
@@ -149,15 +152,18 @@ def _rows(docs: DataFrame, shared, min_words: int, percent: int) -> DataFrame:
                 line, at, key = (np.concatenate((v[~chained], w)) for v, w in ((line, line[k]), (at, at[k]), (key, pair)))
                 order = np.argsort(line, kind="stable")
                 line, at, key = line[order], at[order], key[order]
+                told = at.astype(np.uint32)
             off = np.append(np.searchsorted(line, ok), np.searchsorted(line, ok[-1], "right")) if len(ok) else np.zeros(1, np.int64)
             bits = np.zeros((2, len(n)), np.uint64)
             if len(x.token):
                 bit = C.mix(x.token) >> np.uint64(57)
                 for k in (0, 1):
                     bits[k, n > 0] = np.bitwise_xor.reduceat((bit >> np.uint64(6) == np.uint64(k)).astype(np.uint64) << (bit & np.uint64(63)), x.off[:-1][n > 0])
+            bits[0, n < WIDE] ^= bits[1, n < WIDE]
+            bits[1, n < WIDE] = 0
             of = pa.array(x.doc[ok])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(of), b.column(1).take(of), pa.array(x.no[ok].astype(np.int32)), *(pa.array(k[ok]) for k in x.key), pa.array(n[ok].astype(np.int32)), *(pa.array(v[ok].view(np.int64)) for v in bits), _blobs(key.astype(np.uint32), off), _blobs(at.astype(np.uint32), off)],
+                [b.column(0).take(of), b.column(1).take(of), pa.array(x.no[ok].astype(np.int32)), *(pa.array(k[ok]) for k in x.key), pa.array(n[ok].astype(np.int32)), *(pa.array(v[ok].view(np.int64)) for v in bits), _blobs(key.astype(np.uint32), off), _blobs(told, off if len(told) else np.zeros_like(off))],
                 ["doc", "th", "line", "key_a", "key_b", "n", "low", "high", "keys", "at"],
             )
 
@@ -169,6 +175,21 @@ def _rows(docs: DataFrame, shared, min_words: int, percent: int) -> DataFrame:
 _POSTING = {"key": np.uint32, "doc": np.int64, "line": np.int32, "tag": np.int32, "n": np.int32, "at": np.uint32, "low": np.int64, "high": np.int64, "asks": np.uint8}
 
 
+_DEALT = ["part", "size", *(x for k in _POSTING for x in (k, f"{k}_base"))]
+
+
+def _opened(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    """The arrays of dealt blocks, one after another."""
+    out: dict[str, list[np.ndarray]] = {k: [] for k in _POSTING}
+    for b in batches:
+        size = b.column(1).to_pylist()
+        for i, (k, kind) in enumerate(_POSTING.items()):
+            for blob, base, n in zip(b.column(2 + 2 * i).to_pylist(), b.column(3 + 2 * i).to_pylist(), size):
+                v = np.frombuffer(blob, np.dtype(f"u{len(blob) // n}")).astype(np.uint64) + np.uint64(base & 0xFFFFFFFFFFFFFFFF)
+                out[k].append(v.view(np.int64).astype(kind))
+    return {k: np.concatenate(v) for k, v in out.items()}
+
+
 def _dealt(classes: DataFrame, parts: int, wanted=None) -> DataFrame:
     """Prefix words of classes (doc, line, tag, n, low, high, asks, keys, at), dealt into parts by their hash, in blocks. With
     wanted, only of bins that it marks."""
@@ -179,14 +200,24 @@ def _dealt(classes: DataFrame, parts: int, wanted=None) -> DataFrame:
         order = np.argsort(part, kind="stable")
         own, first = np.unique(part[order], return_index=True)
         off = np.append(first, len(part))
-        yield pa.RecordBatch.from_arrays([pa.array(own), *(_blobs(v[order].astype(kind), off) for v, kind in zip((key, *rest), _POSTING.values()))], ["part", *_POSTING])
+        cols = []
+        for v, kind in zip((key, *rest), _POSTING.values()):
+            v = v[order].astype(kind)
+            # whole numbers are sent as narrow as they are, less their least; the receiver tells the width by the size
+            base = v.min() if np.dtype(kind).kind == "i" else kind(0)
+            narrow = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if int(v.max()) - int(base) <= np.iinfo(t).max)
+            cols += [_blobs((v.astype(np.uint64) - np.uint64(int(base) & 0xFFFFFFFFFFFFFFFF)).astype(narrow), off), pa.array([int(base)] * len(own), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.diff(off).astype(np.int32)), *cols], _DEALT)
 
     def run(batches):
         held, size = [], 0
         for b in batches:
             get = {k: b.column(b.schema.get_field_index(k)) for k in b.schema.names}
-            key, at = _joined(get["keys"], np.uint32), _joined(get["at"], np.uint32)
-            of = np.repeat(np.arange(b.num_rows), pc.binary_length(get["keys"]).to_numpy() // 4)
+            key, size_of = _joined(get["keys"], np.uint32), pc.binary_length(get["keys"]).to_numpy() // 4
+            of = np.repeat(np.arange(b.num_rows), size_of)
+            at = np.arange(len(key)) - np.repeat(np.cumsum(size_of) - size_of, size_of)
+            told = np.repeat(pc.binary_length(get["at"]).to_numpy() > 0, size_of)
+            at[told] = _joined(get["at"], np.uint32)
             if wanted is not None:
                 ok = wanted.value[key >> np.uint32(32 - WANTED)]
                 key, at, of = key[ok], at[ok], of[ok]
@@ -200,7 +231,7 @@ def _dealt(classes: DataFrame, parts: int, wanted=None) -> DataFrame:
         if held:
             yield from flush(held)
 
-    out = classes.select("doc", "line", "tag", "n", "low", "high", "asks", "keys", "at").mapInArrow(run, "part int, " + ", ".join(f"{k} binary" for k in _POSTING))
+    out = classes.select("doc", "line", "tag", "n", "low", "high", "asks", "keys", "at").mapInArrow(run, "part int, size int, " + ", ".join(f"{k} binary, {k}_base long" for k in _POSTING))
     return out.repartitionById(parts, F.col("part"))
 
 
@@ -208,13 +239,28 @@ def _dealt(classes: DataFrame, parts: int, wanted=None) -> DataFrame:
 WANTED = 20
 
 
+def _packed(*keys: np.ndarray) -> np.ndarray:
+    """The order by several whole numbers, the first the most important; by one packed number, if they fit."""
+    span = [(int(k.min()), int(k.max())) for k in keys]
+    packed, bits = np.zeros(len(keys[0]), np.uint64), 0
+    for k, (low, high) in zip(keys, span):
+        wide = (high - low).bit_length()
+        bits += wide
+        if bits > 64:
+            return np.lexsort(keys[::-1])
+        if wide < 64:
+            packed <<= np.uint64(wide)
+        packed |= k.astype(np.int64).view(np.uint64) - np.uint64(low & 0xFFFFFFFFFFFFFFFF)
+    return np.argsort(packed)
+
+
 def meet(p: dict[str, np.ndarray], percent: int, asked: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (b, a) of prefix words of one hash, a's class earlier than b's, that pass the filters; and whether each
     word's class may have more to ask, because it stopped after ``asked``."""
     m = len(p["key"])
     if not m:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    order = np.lexsort((p["line"], p["doc"]))
+    order = _packed(p["doc"], p["line"])
     change = np.zeros(m, bool)
     change[1:] = (p["doc"][order][1:] != p["doc"][order][:-1]) | (p["line"][order][1:] != p["line"][order][:-1])
     place = np.empty(m, np.int64)
@@ -223,7 +269,7 @@ def meet(p: dict[str, np.ndarray], percent: int, asked: int | None) -> tuple[np.
     # sizes of similar sets lie in the same or in neighbouring bands
     band = np.floor(np.log(n) / np.log(100 / percent * 1.001)).astype(np.int64) + 1 if percent < 100 else n
     list_of = p["key"].astype(np.int64) << 16 | np.minimum(band, (1 << 16) - 2)
-    order = np.lexsort((place, list_of))
+    order = _packed(p["key"], np.minimum(band, (1 << 16) - 2), place)
     place, n, at, list_of, asks = place[order], n[order], at[order], list_of[order], p["asks"][order] > 0
     bits = [p[k][order] for k in ("low", "high")]
     # the smaller of two similar sets has their first shared word within this
@@ -254,7 +300,9 @@ def meet(p: dict[str, np.ndarray], percent: int, asked: int | None) -> tuple[np.
             na, nb = n[a], n[b]
             near = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * np.minimum(na - at[a], nb - at[b]) >= percent * (na + nb))
             ok = np.flatnonzero(near)
-            differ = sum(np.bitwise_count((v[a[ok]] ^ v[b[ok]]).view(np.uint64)).astype(np.int64) for v in bits)
+            low_, high_ = (v[a[ok]] ^ v[b[ok]] for v in bits)
+            fold = (na[ok] < WIDE) | (nb[ok] < WIDE)
+            differ = np.bitwise_count(np.where(fold, low_ ^ high_, low_).view(np.uint64)).astype(np.int64) + np.bitwise_count(np.where(fold, 0, high_).view(np.uint64))
             ok = ok[(100 + percent) * differ <= (100 - percent) * (na + nb)[ok]]
             bs.append(order[b[ok]])
             as_.append(order[a[ok]])
@@ -279,7 +327,8 @@ def _pairs(dealt: DataFrame, percent: int, asked: int | None) -> DataFrame:
         if not rows:
             return
         # a task may hold several parts: their words differ, so they are compared as one
-        p = {k: np.concatenate([_joined(b.column(b.schema.get_field_index(k)), kind) for b in rows]) for k, kind in _POSTING.items()}
+        p = _opened(rows)
+        rows.clear()
         b, a, more = meet(p, percent, asked)
         yield pa.RecordBatch.from_arrays([*(pa.array(p[k][b]) for k in names), *(pa.array(p[k][a]) for k in names), pa.array(more[b])], [*(f"b_{k}" for k in names), *(f"a_{k}" for k in names), "more"])
 
@@ -377,6 +426,6 @@ def deduplicated(docs: DataFrame, percent: int = 80, min_words: int = 1) -> Data
     split = F.split(docs["text"], "\n")
     kept = F.filter(split, lambda x, i: ~F.array_contains(gone["__gone"], i))
     text = F.when(gone["__gone"].isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.when(docs["text"].isNull(), 0).otherwise(F.size(split)).cast("long")
+    n_lines = F.when(docs["text"].isNull(), 0).otherwise(F.length(docs["text"]) - F.length(F.replace(docs["text"], F.lit("\n"), F.lit(""))) + 1).cast("long")
     out = docs.join(C.small_side(gone, "__gone"), (docs["doc_id"] == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__th"]), "left")
     return out.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns], n_lines.alias("__n_lines"), F.coalesce(F.size(gone["__gone"]), F.lit(0)).cast("long").alias("__n_removed"))
