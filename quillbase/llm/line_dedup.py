@@ -416,16 +416,17 @@ def removed(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFrame
     known = classes.select("key_a", "key_b", "doc", "line", "tag", "lines").join(later.toDF("doc", "line", "tag").withColumn("later", F.lit(True)), ["doc", "line", "tag"], "left")
     known = C.checkpoint(known.where("lines > 1 or later").select("key_a", "key_b", F.struct("doc", "line").alias("first"), F.coalesce("later", F.lit(False)).alias("later")))
     C.release(classes, pairs, best, left)
-    out = places.join(C.small_side(known), ["key_a", "key_b"]).where(F.col("later") | (F.struct("doc", "line") > F.col("first"))).select("doc", "th", "line")
+    out = places.join(known, ["key_a", "key_b"]).where(F.col("later") | (F.struct("doc", "line") > F.col("first"))).select("doc", "th", "line")
     return out.join(ids, "doc").select("doc_id", "th", "line") if ids is not None else out.select(F.col("doc").cast(kind).alias("doc_id"), "th", "line")
 
 
 def deduplicated(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFrame:
     """docs with their own columns, the text without the lines that go, and __n_lines and __n_removed beside."""
     gone = C.checkpoint(removed(docs, percent, min_words).groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("line").alias("__gone")))
-    split = F.split(docs["text"], "\n")
-    kept = F.filter(split, lambda x, i: ~F.array_contains(gone["__gone"], i))
-    text = F.when(gone["__gone"].isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
+    # within the outer lambda the text is split once, not for each line
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone["__gone"])
+    left = F.transform(F.array(F.split(docs["text"], "\n")), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))[0]
+    text = F.when(gone["__gone"].isNull(), docs["text"]).otherwise(left)
     n_lines = F.when(docs["text"].isNull(), 0).otherwise(F.length(docs["text"]) - F.length(F.replace(docs["text"], F.lit("\n"), F.lit(""))) + 1).cast("long")
     out = docs.join(C.small_side(gone, "__gone"), (docs["doc_id"] == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__th"]), "left")
     return out.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns], n_lines.alias("__n_lines"), F.coalesce(F.size(gone["__gone"]), F.lit(0)).cast("long").alias("__n_removed"))

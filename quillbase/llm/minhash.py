@@ -14,8 +14,9 @@ shingles, positions and sizes allow the similarity (exact filters) and their est
 under the limit, collisions of registers taken off; from SURE shingles on), and verified pair by pair. Verification is exact on the whole sets
 of 64-bit shingle hashes.
 
-Null texts and texts without words have empty sets and are linked with nothing. Ids are unique and not null; rows with
-a null id come back with null component and kept.
+Null texts and texts without words have empty sets and are linked with nothing. Rows with a null id are linked with
+nothing either: their component is null, and they are kept. Rows of one doc_id are one node: it is linked with whatever
+one of them is similar to, and all of them are kept or not.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
             for x in h[s.word_off[i] : s.word_off[i + 1]]:
                 v = v * C._P + x
         grams, docs = np.append(grams, C.mix(np.array([v ^ np.uint64(0x5A5A)], np.uint64))), np.append(docs, i)
-    order = np.lexsort((grams, docs))
+    order = C.group_order(docs, grams)
     grams, docs = grams[order], docs[order]
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (docs[1:] != docs[:-1])
@@ -80,7 +81,7 @@ def registers(grams: np.ndarray, off: np.ndarray) -> np.ndarray:
     bucket = (C.mix(grams) % _SPAN).astype(np.int64)
     rest = C.mix(grams ^ np.uint64(0xABCDEF123))
     cell = docs * BUCKETS + bucket
-    order = np.lexsort((rest, cell))
+    order = C.group_order(cell, rest)
     first = order[np.flatnonzero(np.append(True, cell[order][1:] != cell[order][:-1]))]
     low = rest[first]
     # leading zeros from the exponent; the float's rounding can only matter at powers of two, and alike everywhere
@@ -165,7 +166,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
             # a pair's hashes side by side: what is in both follows itself
             pair = np.concatenate((np.repeat(np.arange(b.num_rows), np.diff(oa)), np.repeat(np.arange(b.num_rows), np.diff(ob))))
             both = np.concatenate((ga, gb))
-            order = np.lexsort((both, pair))
+            order = C.group_order(pair, both)
             p, g = pair[order], both[order]
             same = np.bincount(p[1:][(p[1:] == p[:-1]) & (g[1:] == g[:-1])], minlength=b.num_rows)
             ok = pa.array(100 * same >= percent * (np.diff(oa) + np.diff(ob) - same))
@@ -177,7 +178,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 def _needed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Texts of all classes in pairs."""
     ids = C.checkpoint(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    return C.checkpoint(docs.select("doc_id", "text").join(C.small_side(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text"))
+    texts = C.checkpoint(docs.select("doc_id", "text").join(C.small_side(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text"))
+    if texts.count() > ids.count():  # repeated rows would meet each other
+        texts = C.checkpoint(texts.withColumn("th", F.xxhash64("text")).dropDuplicates(["rep", "th"]).drop("th"))
+    return texts
 
 
 def _mixed(shared: DataFrame, roots: DataFrame, seed: int) -> DataFrame:
@@ -271,7 +275,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     named = classes.select("key_a", "key_b", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key_a", "key_b", F.coalesce("root", "rep").alias("component_id"))
     out = some.select("doc_id", "n_shingles", "key_a", "key_b").join(named, ["key_a", "key_b"]).select("doc_id", "n_shingles", "component_id")
     rest = sig.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.union(rest).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

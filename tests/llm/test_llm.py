@@ -84,6 +84,15 @@ def test_minhash_rows(docs):
     assert minhash.near_duplicates(empty(docs)).count() == 0
 
 
+def test_minhash_repeats(spark):
+    t = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, t, 1), (5, t, 2), (5, "other words altogether in this row", 3), (9, t + " x", 4), (None, t, 5), (7, None, 6)]
+    got = sorted(minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, kept int")).select("kept").toPandas()["kept"])
+    assert got == [1, 2, 3, 5, 6]
+    out = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, kept int"), 2).collect()}
+    assert out == {(5, 39, 5, True), (5, 5, 5, True), (9, 40, 5, False), (None, 39, None, True), (7, 0, 7, True)}
+
+
 def test_registers_estimate():
     a, b = " ".join(f"w{i}" for i in range(2000)), " ".join(f"w{i}" for i in range(100, 2000))
     g, o = minhash.shingle_sets(pa.array([a, b]), 1)
