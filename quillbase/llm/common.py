@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import pickle
 import shutil
@@ -19,6 +21,9 @@ from pyspark.sql import functions as F
 WORD_RE = r"[^\x20\x09-\x0D]+"
 #: Text handled at once by the vectorised scanners; a longer single text is still handled whole.
 SLICE_BYTES = 1 << 20
+#: Most bytes of rows that Spark sends to a Python worker at once.
+ARROW_BYTES = 12 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Most rows of (id, small values) that may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -167,6 +172,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             at = end
 
 
+def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow over batches bounded in bytes (a session setting, lowered to ARROW_BYTES where it is higher), so that long
+    texts don't pile up; a worker, which lives on, gives its freed memory back after each task."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH_BYTES).rstrip("bB")) > ARROW_BYTES:
+        conf.set(_BATCH_BYTES, str(ARROW_BYTES))
+
+    def tidy(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(tidy, schema)
+
+
 def map_texts(docs: DataFrame, fn: Callable[[pa.RecordBatch], dict], added: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Selects keep and text, and puts fn's columns (a dict of arrays) beside keep for every slice of rows."""
     kept = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
@@ -176,7 +197,7 @@ def map_texts(docs: DataFrame, fn: Callable[[pa.RecordBatch], dict], added: str,
             cols = fn(b)
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(k)) for k in keep] + [pa.array(v) if not isinstance(v, (pa.Array, pa.ChunkedArray)) else v for v in cols.values()], [*keep, *cols])
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{kept}, {added}" if kept else added)
+    return docs.select(*dict.fromkeys([*keep, text])).transform(arrow, run, f"{kept}, {added}" if kept else added)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -237,7 +258,7 @@ def fitted(sample: DataFrame, train: Callable[[pa.Table], object], order: str =
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(pa.Table.from_batches(rows)))], pa.binary())], ["model"])
 
-    got = sample.repartition(1).sortWithinPartitions(order).mapInArrow(run, "model binary").collect()
+    got = sample.repartition(1).sortWithinPartitions(order).transform(arrow, run, "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else None
 
 

@@ -73,7 +73,7 @@ def fit(docs: DataFrame, modulus: int = 3, held: int = 1, per_language: int = 15
         k, g = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(g.astype(np.int32)), pa.array(total[k, g])], ["k", "g", "n"])
 
-    got = part.select("lang", "text").mapInArrow(run, "k int, g int, n long").groupBy("k", "g").agg(F.sum("n").alias("n")).toArrow()
+    got = part.select("lang", "text").transform(C.arrow, run, "k int, g int, n long").groupBy("k", "g").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros((1 << bits, len(names)))
     n[got["g"].to_numpy(), got["k"].to_numpy()] = got["n"].to_numpy()
     n[0] = 0

@@ -109,7 +109,7 @@ def histogram(df: DataFrame, column: str, hashes, bits: int) -> np.ndarray:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["part", "n"])
 
-    rows = df.select(column).mapInArrow(count, "part int, at binary, n binary").repartitionById((1 << bits) // width, F.col("part")).mapInArrow(add, "part int, n binary").collect()
+    rows = df.select(column).transform(C.arrow, count, "part int, at binary, n binary").repartitionById((1 << bits) // width, F.col("part")).transform(C.arrow, add, "part int, n binary").collect()
     out = np.zeros(1 << bits, np.int64)
     for r in rows:
         out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["n"], np.int64)
@@ -167,7 +167,7 @@ def _rows(docs: DataFrame, shared, min_words: int, percent: int) -> DataFrame:
                 ["doc", "th", "line", "key_a", "key_b", "n", "low", "high", "keys", "at"],
             )
 
-    return docs.select("doc", "th", "text").mapInArrow(run, "doc long, th long, line int, key_a long, key_b long, n int, low long, high long, keys binary, at binary")
+    return docs.select("doc", "th", "text").transform(C.arrow, run, "doc long, th long, line int, key_a long, key_b long, n int, low long, high long, keys binary, at binary")
 
 
 #: What travels of a prefix word: its hash, its class (place and a part of the key), size, place in the set, parities, and
@@ -231,7 +231,7 @@ def _dealt(classes: DataFrame, parts: int, wanted=None) -> DataFrame:
         if held:
             yield from flush(held)
 
-    out = classes.select("doc", "line", "tag", "n", "low", "high", "asks", "keys", "at").mapInArrow(run, "part int, size int, " + ", ".join(f"{k} binary, {k}_base long" for k in _POSTING))
+    out = classes.select("doc", "line", "tag", "n", "low", "high", "asks", "keys", "at").transform(C.arrow, run, "part int, size int, " + ", ".join(f"{k} binary, {k}_base long" for k in _POSTING))
     return out.repartitionById(parts, F.col("part"))
 
 
@@ -332,7 +332,7 @@ def _pairs(dealt: DataFrame, percent: int, asked: int | None) -> DataFrame:
         b, a, more = meet(p, percent, asked)
         yield pa.RecordBatch.from_arrays([*(pa.array(p[k][b]) for k in names), *(pa.array(p[k][a]) for k in names), pa.array(more[b])], [*(f"b_{k}" for k in names), *(f"a_{k}" for k in names), "more"])
 
-    return dealt.mapInArrow(run, "b_doc long, b_line int, b_tag int, a_doc long, a_line int, a_tag int, more boolean")
+    return dealt.transform(C.arrow, run, "b_doc long, b_line int, b_tag int, a_doc long, a_line int, a_tag int, more boolean")
 
 
 _B, _A = ["b_doc", "b_line", "b_tag"], ["a_doc", "a_line", "a_tag"]
@@ -355,7 +355,7 @@ def _later(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             of = pa.array(x.doc[ok])
             yield pa.RecordBatch.from_arrays([b.column(0).take(of), pa.array(x.no[ok].astype(np.int32)), pa.array((x.key[0][ok] & 0xFFFFFFFF).astype(np.uint32).view(np.int32)), _blobs(token, off)], ["doc", "line", "tag", "words"])
 
-    lines = docs.join(C.small_side(need, "lines"), "doc").select("doc", "lines", "text").mapInArrow(sets, "doc long, line int, tag int, words binary")
+    lines = docs.join(C.small_side(need, "lines"), "doc").select("doc", "lines", "text").transform(C.arrow, sets, "doc long, line int, tag int, words binary")
     lines = C.checkpoint(lines.dropDuplicates(["doc", "line", "tag"]))
     C.release(need)
 
@@ -372,7 +372,7 @@ def _later(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     of = lambda names, c: lines.select(F.col("doc").alias(names[0]), F.col("line").alias(names[1]), F.col("tag").alias(names[2]), F.col("words").alias(c))
     joined = pairs.join(of(_B, "x"), _B).join(of(_A, "y"), _A).select(*_B, "x", "y")
-    out = C.checkpoint(joined.mapInArrow(run, "b_doc long, b_line int, b_tag int").distinct())
+    out = C.checkpoint(joined.transform(C.arrow, run, "b_doc long, b_line int, b_tag int").distinct())
     C.release(lines)
     return out
 

@@ -136,7 +136,7 @@ def _bands(classes: DataFrame) -> DataFrame:
             many = lambda c: c.take(pa.array(np.repeat(np.arange(b.num_rows), BANDS)))
             yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), many(b.column(0)), many(b.column(1))], ["band", "rep", "n"])
 
-    return classes.select("rep", "n", "registers").mapInArrow(run, "band long, rep long, n long")
+    return classes.select("rep", "n", "registers").transform(C.arrow, run, "band long, rep long, n long")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -153,7 +153,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
                 ok = pa.array(go)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(e[go])], ["a", "b", "est"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long, est double")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb").transform(C.arrow, run, "a long, b long, est double")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -172,7 +172,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
             ok = pa.array(100 * same >= percent * (np.diff(oa) + np.diff(ob) - same))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").transform(C.arrow, run, "a long, b long")
 
 
 def _needed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def _rest(docs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataF
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.minimum(total[at], (1 << 31) - 1))], ["bin", "n"])
 
-    got = texts.select("text").mapInArrow(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    got = texts.select("text").transform(C.arrow, count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros(1 << BINS, np.uint64)
     seen[got["bin"].to_numpy()] = np.minimum(got["n"].to_numpy(), (1 << 31) - 1).astype(np.uint64)
     seen = docs.sparkSession.sparkContext.broadcast(seen)
@@ -233,7 +233,7 @@ def _rest(docs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataF
             rest = b.select(["rep", "n", "root"]).take(pa.array(doc[ok]))
             yield pa.RecordBatch.from_arrays([pa.array(grams[ok].view(np.int64)), *rest.columns, pa.array((n - at)[ok])], ["gram", "rep", "n", "root", "room"])
 
-    prefixes = C.checkpoint(texts.mapInArrow(run, "gram long, rep long, n long, root long, room long"))
+    prefixes = C.checkpoint(texts.transform(C.arrow, run, "gram long, rep long, n long, root long, room long"))
     # a shingle of one component pairs nothing
     met = prefixes.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("gram")
     prefixes = C.checkpoint(prefixes.join(met, "gram"))

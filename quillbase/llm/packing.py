@@ -51,10 +51,15 @@ def tokenizer(path: str):
 
 
 def _spread(ids: np.ndarray, off: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lists numbered by pick, one after another, and their lengths."""
-    size = (off[1:] - off[:-1])[pick]
-    at = np.repeat(off[:-1][pick] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    return ids[at], size
+    """The lists numbered by pick, one after another, and where each begins and the last ends."""
+    ends = np.zeros(len(pick) + 1, np.int64)
+    np.cumsum((off[1:] - off[:-1])[pick], out=ends[1:])
+    out = np.empty(ends[-1], np.uint32)
+    for a in range(0, len(pick), 1 << 17):  # places of all ids at once would take eight times their size
+        own, at = pick[a : a + (1 << 17)], ends[a : a + (1 << 17) + 1]
+        size = np.diff(at)
+        out[at[0] : at[-1]] = ids[np.repeat(off[:-1][own] - at[:-1], size) + np.arange(at[0], at[-1])]
+    return out, ends
 
 
 def _encode_each(t, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,26 +99,30 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     count = pc.list_value_length(parts).to_numpy()
     flat = parts.flatten().dictionary_encode()
     names = flat.dictionary
-    code = flat.indices.to_numpy().astype(np.int64)
+    code = flat.indices.to_numpy().copy()  # 32 bits, twice which no slice of texts reaches
+    del parts, flat
     begin = np.cumsum(count) - count
     code[begin[count > 0]] += len(names)  # a text's first piece has no blank before it
-    used = np.flatnonzero(np.bincount(code, minlength=2 * len(names)))
-    number = np.zeros(2 * len(names), np.int64)
+    seen = np.zeros(2 * len(names), bool)
+    seen[code] = True
+    used = np.flatnonzero(seen)
+    number = np.zeros(2 * len(names), np.int32)
     number[used] = np.arange(len(used))
     code = number[code]
     plain = np.tile(~pc.match_substring_regex(names, f"^$|{_WHITE}").to_numpy(zero_copy_only=False), 2)[used]
     names = names.to_pylist()
     pieces = [" " + names[i] if i < len(names) else names[i - len(names)] for i in used.tolist()]
+    del names
     easy, hard = np.flatnonzero(plain), np.flatnonzero(~plain)
     ids_a, size_a = _encode_lines(t, [pieces[i] for i in easy.tolist()])
     ids_b, size_b = _encode_each(t, [pieces[i] for i in hard.tolist()] + [texts[int(i)].as_py() for i in odd])
-    place = np.empty(len(used), np.int64)
+    del pieces
+    place = np.empty(len(used), np.int32)
     place[easy], place[hard] = np.arange(len(easy)), len(easy) + np.arange(len(hard))
     code = place[code]
     if len(odd):  # the odd texts have one empty piece each, whose place their own lists take
         code[begin[odd]] = len(used) + np.arange(len(odd))
-    out, size = _spread(np.concatenate((ids_a, ids_b)), np.concatenate(([0], np.cumsum(np.concatenate((size_a, size_b))))).astype(np.int64), code)
-    ends = np.concatenate(([0], np.cumsum(size)))
+    out, ends = _spread(np.concatenate((ids_a, ids_b)), np.concatenate(([0], np.cumsum(np.concatenate((size_a, size_b))))).astype(np.int64), code)
     return out, ends[np.concatenate(([0], np.cumsum(count)))]
 
 
@@ -236,4 +245,4 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         if rows := packer.settle(True):
             yield out(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return docs.select("doc_id", "text").transform(C.arrow, run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

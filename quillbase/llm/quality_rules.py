@@ -138,7 +138,7 @@ def measure(docs: DataFrame, rules: dict = RULES, sample_rows: int = 2000) -> di
                 out.append((name, time.perf_counter() - began, hit, b.num_rows))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["rule", "s", "hit", "n"])
 
-    got = picked.mapInArrow(run, "rule string, s double, hit long, n long").groupBy("rule").agg(F.sum("s"), F.sum("hit"), F.sum("n")).collect()
+    got = picked.transform(C.arrow, run, "rule string, s double, hit long, n long").groupBy("rule").agg(F.sum("s"), F.sum("hit"), F.sum("n")).collect()
     return {r[0]: (r[1] / max(1, r[3]), r[2] / max(1, r[3])) for r in got} or {k: (0.0, 0.0) for k in rules}
 
 
