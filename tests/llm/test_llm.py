@@ -347,7 +347,9 @@ def test_html_marginals():
     for y in itertools.product((0, 1), repeat=n):
         w = np.exp(sum(y[i] * unary.get(f, 0) for i in range(n) for f in page.features[i]) + sum(edge[y[page.parent[i]]][y[i]] for i in range(1, n)))
         total, on = total + w, on + w * np.array(y)
-    assert html_extract.marginals(page, (unary, edge))[0] == pytest.approx((on / total).tolist())
+    other = html_extract.Page("<ul><li>x</ul>")
+    got = html_extract.marginals([other, page, other], (unary, edge))
+    assert got[len(other.parent) :][:n] == pytest.approx(on / total) and got[: len(other.parent)] == pytest.approx(got[-len(other.parent) :])
 
 
 @pytest.fixture(scope="module")
