@@ -1,13 +1,15 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one per shard.
 
 Vectors of a label (and length) are dealt by hash into shards of about SHARD; equal vectors are one node with a count.
-Every shard's graph is asked by every shard of its label, block against block. A beam whose worst hit is still a link
+Every shard's graph is asked by every shard of its label, in cells of up to CELL shards by CELL. A beam whose worst hit is still a link
 is widened; then a sample of AUDIT queries is compared with brute force over the block, and all beams are widened until
 RECALL of its links is found, and of the nearest nodes of those without links; a graph that never gets there is scanned. Links are verified by cosine in double
 precision. A pair of blocks gives sums and a spanning forest, never its pairs.
 
-Null, zero, or not finite vectors (or with null components) and vectors with a null label link with nothing. Ids are
-unique; an empty table gives no rows.
+Null, zero, or not finite vectors (or with null components) and vectors with a null label link with nothing. Equal rows
+of one vec_id are one vector: each row comes back with the same result, and none counts as another's link. Unequal
+vectors of one vec_id are several vectors in one component. A null vec_id links with nothing, and is kept. An empty
+table gives no rows; columns of other names are no trouble.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from . import common as C
 from .components import components
 
 LIMIT = 0.93
-SHARD, AUDIT, RECALL = 8192, 64, 0.99
+SHARD, AUDIT, RECALL, CELL = 8192, 64, 0.99, 4
 M, EF_BUILD, EF = 12, 48, 64
 
 
@@ -162,16 +164,18 @@ def linked(q: np.ndarray, graph: Graph, least: float) -> tuple[np.ndarray, np.nd
     """(query, node) pairs, and the beam that passed the audit (0: scanned)."""
     pick = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
     r, c = _scan(q[pick], graph.x, least)
-    truth, ef = set(zip(r.tolist(), c.tolist())), EF
+    truth, ef = set(zip(r.tolist(), c.tolist())), min(EF, len(graph.x))
     # a query without links must find its nearest node, however far that is: an audit of nothing would pass
     bare = q[np.delete(pick, np.unique(r))]
     nearest = (bare @ graph.x.T).max(1) - 1e-9
-    while ef < len(graph.x):
+    while True:
         found = set(zip(*map(np.ndarray.tolist, graph.near_to(q[pick], least, ef))))
         hit = int((graph.best(bare, ef) >= nearest).sum()) if len(bare) else 0
         if len(found & truth) >= RECALL * len(truth) and hit >= RECALL * len(bare):
             return *graph.near_to(q, least, ef), ef
-        ef *= 2
+        if ef == len(graph.x):
+            break
+        ef = min(2 * ef, len(graph.x))
     return *_scan(q, graph.x, least), 0
 
 
@@ -192,7 +196,7 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     o = g.order
     blob = _pack(ids=pdf["rep"].to_numpy()[o], m=pdf["m"].to_numpy()[o], x=x[o], **{f"near{k}": t for k, t in enumerate(g.near)})
     first = pdf.iloc[0]
-    return pd.DataFrame({"label": [first["label"]], "dim": [first["dim"]], "shard": [first["shard"]], "blob": [blob]})
+    return pd.DataFrame({"label": [first["label"]], "dim": [first["dim"]], "shards": [first["shards"]], "shard": [first["shard"]], "blob": [blob]})
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,45 +214,51 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return names, names[root]
 
 
-def _answer(frames):
-    for pdf in frames:
-        for same, one, two in zip(pdf["same"], pdf["blob"], pdf["other"]):
-            a, b = np.load(io.BytesIO(one)), np.load(io.BytesIO(two))
-            xa, xb = a["x"], b["x"]
-            graph = Graph(_unit(xb), [b[f"near{k}"] for k in range(sum(n.startswith("near") for n in b.files))])
-            q, c, _ = linked(_unit(xa), graph, LIMIT - 1e-9)
-            cos = np.einsum("nd,nd->n", xa[q], xb[c]) / (np.sqrt((xa[q] ** 2).sum(1)) * np.sqrt((xb[c] ** 2).sum(1)))
-            q, c = q[cos >= LIMIT], c[cos >= LIMIT]
-            if same:  # found from either end
-                keep = q != c
-                both = np.unique(np.stack((np.minimum(q, c)[keep], np.maximum(q, c)[keep])), axis=1)
-                q, c = both
-            ids, other = a["ids"][q], b["ids"][c]
-            if not len(ids):
-                continue
-            names, roots = _forest(ids, other)
-            n = np.bincount(np.searchsorted(names, ids), b["m"][c], len(names)) + np.bincount(np.searchsorted(names, other), a["m"][q], len(names))
-            yield pd.DataFrame({"rep": names, "links": n.astype(np.int64), "root": roots})
+def _pair(one: bytes, two: bytes, same: bool) -> pd.DataFrame:
+    a, b = np.load(io.BytesIO(one)), np.load(io.BytesIO(two))
+    xa, xb = a["x"], b["x"]
+    graph = Graph(_unit(xb), [b[f"near{k}"] for k in range(sum(n.startswith("near") for n in b.files))])
+    q, c, _ = linked(_unit(xa), graph, LIMIT - 1e-9)
+    cos = np.einsum("nd,nd->n", xa[q], xb[c]) / (np.sqrt((xa[q] ** 2).sum(1)) * np.sqrt((xb[c] ** 2).sum(1)))
+    q, c = q[cos >= LIMIT], c[cos >= LIMIT]
+    if same:  # found from either end
+        keep = q != c
+        q, c = np.unique(np.stack((np.minimum(q, c)[keep], np.maximum(q, c)[keep])), axis=1)
+    ids, other = a["ids"][q], b["ids"][c]
+    names, roots = _forest(ids, other)
+    n = np.bincount(np.searchsorted(names, ids), b["m"][c], len(names)) + np.bincount(np.searchsorted(names, other), a["m"][q], len(names))
+    return pd.DataFrame({"rep": names, "links": n.astype(np.int64), "root": roots})
+
+
+def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of shards of one cell: of its two groups of shards, or within its one group."""
+    rows = sorted(zip(pdf["shard"], pdf["blob"]))
+    low = [x for x in rows if x[0] // CELL == pdf["low"].iloc[0]]
+    high = [x for x in rows if x[0] // CELL == pdf["high"].iloc[0]]
+    return pd.concat([_pair(one, two, i == j) for i, one in low for j, two in high if i <= j])
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     v = F.col("embedding")
     finite = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists(v, lambda e: e != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), "embedding").withColumns({"ok": F.coalesce(finite & F.col("label").isNotNull(), F.lit(False)), "h1": F.xxhash64("embedding"), "h2": F.xxhash64("embedding", F.lit(1)), "dim": F.size("embedding")})
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), "embedding").withColumns({"ok": F.coalesce(finite & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)), "h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), F.reverse("embedding")), "dim": F.size("embedding")})
     usable = rows.where("ok")
-    reps = C.checkpoint(usable.groupBy("label", "dim", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("embedding").alias("embedding")))
+    one = usable
+    if usable.count() != usable.select("vec_id").distinct().count():
+        one = usable.dropDuplicates(["vec_id", "label", "dim", "h1", "h2"])
+    reps = C.checkpoint(one.groupBy("label", "dim", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("embedding").alias("embedding")))
     shards = reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / SHARD).alias("shards"))
-    dealt = reps.join(shards, ["label", "dim"]).select("label", "dim", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("shards")).alias("shard"), "rep", "m", "embedding")
+    dealt = reps.join(shards, ["label", "dim"]).select("label", "dim", "shards", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("shards")).alias("shard"), "rep", "m", "embedding")
     kind = vectors.schema["label"].dataType.simpleString()
-    graphs = C.checkpoint(dealt.groupBy("label", "dim", "shard").applyInPandas(_build, f"label {kind}, dim int, shard long, blob binary"))
-    other = graphs.select("label", "dim", F.col("shard").alias("to"), F.col("blob").alias("other"))
-    # a batch is a few blocks of a few MB
-    pairs = graphs.join(other, ["label", "dim"]).where("shard <= to").select((F.col("shard") == F.col("to")).alias("same"), "blob", "other")
-    found = C.checkpoint(pairs.mapInPandas(_answer, "rep long, links long, root long"))
+    graphs = C.checkpoint(dealt.groupBy("label", "dim", "shards", "shard").applyInPandas(_build, f"label {kind}, dim int, shards long, shard long, blob binary"))
+    # a graph goes to the cells of its group of shards with every group; a cell holds at most 2 * CELL graphs of a few MB
+    own, other = F.floor(F.col("shard") / CELL), F.explode(F.sequence(F.lit(0), F.floor((F.col("shards") - 1) / CELL).cast("int")))
+    cells = graphs.select("label", "dim", "shard", "blob", own.cast("int").alias("own"), other.alias("other")).select("label", "dim", "shard", "blob", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    found = C.checkpoint(cells.groupBy("label", "dim", "low", "high").applyInPandas(_cell, "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     named = reps.select("label", "h1", "h2", "rep", "m").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("label", "h1", "h2", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     out = usable.select("vec_id", "label", "h1", "h2").join(named, ["label", "h1", "h2"]).select("vec_id", "n_links", "component_id")
     rest = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.union(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -1,9 +1,11 @@
 """Multinomial naive Bayes over hashed character n-grams.
 
 Texts are lower-cased; whatever isn't a letter counts as one break. The log-probability matrix has 2**15 rows and a
-column per language (its size doesn't follow the input). Learned on about ``per_language`` rows of each language,
-spread by a hash. Null texts and texts without a letter are ``und`` with score 0; with nothing to learn from,
-all are ``und``. Ties go to the first language by code point.
+column per language, of at most ``languages``: those with the most rows (the first by code point, of equally many), so
+that its size doesn't follow the input; other languages are never predicted. All languages are as likely beforehand.
+Learned on about ``per_language`` rows of each language, spread by a hash. Null texts and texts without a letter are
+``und`` with score 0; with nothing to learn from, all are ``und``. Ties go to the first language by code point. Whole
+texts of any length count; rows that repeat and columns of other names are no trouble.
 """
 
 from __future__ import annotations
@@ -50,17 +52,16 @@ def grams(texts: pa.Array, bits: int = BITS) -> tuple[list[np.ndarray], np.ndarr
     return [np.where(skip, np.uint32(0), np.maximum(x & mask, 1)) for x in (one, two, three)], off, C.by_text(~skip, off)
 
 
-def fit(docs: DataFrame, modulus: int = 3, held: int = 1, per_language: int = 1500, bits: int = BITS) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, modulus: int = 3, held: int = 1, per_language: int = 1500, languages: int = 256, bits: int = BITS) -> tuple[list[str], np.ndarray]:
     """Languages by code point, and log P(gram | language) with a row per hash; row 0 is for breaks and weighs nothing."""
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(C.crc_mod("doc_id", modulus) != held, F.lit(True)))
-    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     names = sorted(counts, key=lambda x: x.encode())
     if not names:
         return [], np.zeros((1 << bits, 0), np.float32)
-    share = F.lit(0.0)
-    for k in names:
-        share = F.when(F.col("lang") == k, F.lit(min(1.0, per_language / counts[k]))).otherwise(share)
-    part = learn.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(78)), F.lit(1 << 30)) / float(1 << 30) < share)
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, per_language / counts[k])) for k in names], "lang string, __share double")
+    spread = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(78)), F.lit(1 << 30)) / float(1 << 30)
+    part = learn.select("lang", "text", spread.alias("__spread")).join(F.broadcast(shares), "lang").where("__spread < __share")
     place = {k: i for i, k in enumerate(names)}
 
     def run(batches):

@@ -2,7 +2,9 @@
 
 Features of a text: its words, word pairs, word shapes and shape pairs (with a mark where a word repeats the one
 before), hashed into 2**18 columns; a value is the share of the text's features that fall into the column, times
-SCALE. Texts without words have the bias only. Fitted on at most about ``train_rows`` labelled rows.
+SCALE. Texts without words have the bias only. Fitted in one executor task on at most about ``train_rows`` labelled
+rows, of each at most ``train_chars`` characters (of a longer text, stretches spread evenly over it); of several labels
+of one doc_id the highest counts. Scores are of whole texts; rows that repeat and columns of other names are no trouble.
 """
 
 from __future__ import annotations
@@ -53,20 +55,21 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, epoc
     return w[:-1].astype(np.float32), float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, held: int = 0, train_rows: int = 6000) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, held: int = 0, train_rows: int = 6000, train_chars: int = 20_000) -> tuple[np.ndarray, float]:
     def features(b):
         col, doc, n = columns(b.column(b.schema.get_field_index("text")))
         key, count = np.unique(doc.astype(np.int64) << BITS | col, return_counts=True)
         off = np.searchsorted(key, np.arange(n + 1) << BITS)
         total = np.bincount(doc, minlength=n).astype(float)
         val = (count * SCALE / total[key >> BITS]).astype(np.float32)
-        lists = lambda v: pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(v))
-        return {"col": lists((key & ((1 << BITS) - 1)).astype(np.int32)), "val": lists(val)}
+        col = (key & ((1 << BITS) - 1)).astype(np.int32)
+        return [(y, col[i:j], val[i:j]) for y, i, j in zip(b.column(1).to_pylist(), off, off[1:])]
 
-    part = C.labelled(docs, labels, label, modulus, held, train_rows)
-    got = C.map_texts(part, features, "col array<int>, val array<float>", keep=("doc_id", "label")).toArrow().sort_by("doc_id")
-    rows = [(y, c.values.to_numpy(), v.values.to_numpy()) for y, c, v in zip(got["label"].to_pylist(), got["col"], got["val"])]
-    return train(rows)
+    def learn(rows: pa.Table):
+        return train([x for b in C.slices(iter(rows.select(["text", "label"]).to_batches()), "text") for x in features(b)])
+
+    part = C.labelled(docs, labels, label, modulus, held, train_rows).select("doc_id", C.excerpt(F.col("text"), train_chars).alias("text"), "label")
+    return C.fitted(part, learn) or (np.zeros(1 << BITS, np.float32), 0.0)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

@@ -220,6 +220,35 @@ def test_rules(docs):
     assert quality_rules.quality_rules(empty(docs)).count() == 0
 
 
+def plain_verdict(t):
+    """The rules that follow the base rule, by plain Python."""
+    w = WORD.findall(t)
+    upper = sum("A" <= c <= "Z" for c in t)
+    letters = sum(c.isascii() and c.isalpha() or 0xC0 <= ord(c) < 0x800 or (0x800 <= ord(c) < 0xE000 and not 0x2000 <= ord(c) < 0x3000) for c in t)
+    lines = t.split("\n")
+    seen, again = set(), 0
+    for s in lines:
+        if WORD.search(s):
+            again += s in seen
+            seen.add(s)
+    doubled = sum(a == b for a, b in zip(w, w[1:]))
+    signs, size = sum(c in "#*$%&|<>" for c in t), sum(map(len, w))
+    return not (10 * signs > len(w) or 10 * upper > 3 * letters or 10 * doubled > 3 * len(w) or 10 * again > 3 * len(lines) or size < 2 * len(w) or size > 20 * len(w))
+
+
+def test_rules_verdict(spark):
+    r = np.random.default_rng(6)
+    texts = list(TEXTS)
+    for i in range(120):
+        pool = [["word", "Other", "naïve", "мир", "語", "–", "a"], ["ABC", "DEF", "x"], ["#", "$x", "plain", "words", "here"], ["z" * 30, "q"], ["a", "b", "I"], ["same"]][i % 6]
+        w = [str(x) for x in r.choice(pool, int(r.integers(20, 60)))]
+        texts.append(" ".join(x if k % 9 else x + "\n" for k, x in enumerate(w)) + ("\ndup line\n" * 30 if i % 5 == 0 else ""))
+    texts.append("long words " * 40_000 + " ".join(f"w{i}" for i in range(90_000)))
+    rows = quality_rules.quality_rules(frame(spark, texts)).collect()
+    bad = [(texts[x["doc_id"]], x["kept"]) for x in rows if x["kept"] != (not x["base_failed"] and plain_verdict(texts[x["doc_id"]] or ""))]
+    assert not bad and len({x["kept"] for x in rows}) == 2
+
+
 def test_rule_order():
     assert quality_rules.order({"few_words": (1.0, 0.5), "symbols": (0.1, 0.4)})[:2] == ["symbols", "few_words"]
     texts = pa.array(["word " * 3, "plain words of many kinds " + " ".join(f"w{i}" for i in range(30)), None])
@@ -305,18 +334,45 @@ def test_language(spark):
     assert language_id.language_id(empty(d)).count() == 0
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("shard", [8192, 60])
+def test_embeddings(spark, monkeypatch, shard):
+    monkeypatch.setattr(embeddings, "SHARD", shard)
     r = np.random.default_rng(8)
     base = r.standard_normal((40, 8))
-    x = [(base[i % 40] + 0.12 * r.standard_normal(8)).astype(np.float32).tolist() for i in range(300)]
-    rows = [(i, v, i % 3) for i, v in enumerate(x)] + [(400 + i, x[0], 0) for i in range(30)]
-    rows += [(500, None, 1), (501, [0.0] * 8, 1), (502, [float("nan")] * 8, 1), (503, [None, *x[0][1:]], 1), (504, x[0], None), (505, x[0][:4], 0)]
-    got = {a["vec_id"]: (a["n_links"], a["component_id"], a["kept"]) for a in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
-    ok = [(i, np.array(v, float), k) for i, v, k in rows if i < 500]
+    x = [(base[i % 40] + 0.12 * r.standard_normal(8)).astype(np.float32).tolist() for i in range(600 if shard == 60 else 300)]
+    label = (lambda i: 0) if shard == 60 else (lambda i: i % 3)
+    rows = [(i, v, label(i)) for i, v in enumerate(x)] + [(4000 + i, x[0], 0) for i in range(30)]
+    rows += [(5000, None, 1), (5001, [0.0] * 8, 1), (5002, [float("nan")] * 8, 1), (5003, [None, *x[0][1:]], 1), (5004, x[0], None), (5005, x[0][:4], 0)]
+    twice = [(7, x[7], label(7)), (None, x[7], label(7))]
+    d = spark.createDataFrame([(*v, 1.0, 2) for v in rows + twice], "vec_id long, embedding array<float>, label int, rep double, blob int")
+    out = embeddings.near_vectors(d)
+    assert out.columns == ["vec_id", "n_links", "component_id", "kept"]
+    every = [(a["vec_id"], (a["n_links"], a["component_id"], a["kept"])) for a in out.collect()]
+    got = dict(every)
+    assert len(every) == len(rows) + 2 and [v for k, v in every if k == 7] == [got[7]] * 2 and got.pop(None) == (0, None, True)
+    ok = [(i, np.array(v, float), k) for i, v, k in rows if i < 5000]
     u = np.stack([v / np.linalg.norm(v) for _, v, _ in ok])
     near = (u @ u.T >= 0.93) & (np.array([k for *_, k in ok])[:, None] == np.array([k for *_, k in ok])[None]) & ~np.eye(len(ok), dtype=bool)
     want = roots([(ok[a][0], ok[b][0]) for a, b in zip(*np.nonzero(near)) if a < b], [i for i, *_ in ok])
-    assert got == {i: (int(near[k].sum()), want[i], want[i] == i) for k, (i, *_) in enumerate(ok)} | {i: (0, i, True) for i in range(500, 506)}
+    assert got == {i: (int(near[k].sum()), want[i], want[i] == i) for k, (i, *_) in enumerate(ok)} | {i: (0, i, True) for i in range(5000, 5006)}
+
+
+def test_embeddings_limit(spark):
+    # a cosine of just 0.93 in doubles links, one below it doesn't; an empty table gives nothing
+    rows = [(1, [0.93, (1 - 0.93**2) ** 0.5], 0), (2, [1.0, 0.0], 0), (3, [1.0, -0.396], 0), (4, [1.0, 0.0], 9)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    cos = lambda a, b: np.dot(a, b) / (np.sqrt(np.dot(a, a)) * np.sqrt(np.dot(b, b)))
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and a[2] == b[2] and cos(a[1], b[1]) >= 0.93}
+    assert {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(d).collect()} == {i: sum(a == i for a, _ in want) for i in range(1, 5)}
+    assert embeddings.near_vectors(d.where("vec_id < 0")).count() == 0
+
+
+def test_graphs_are_asked(monkeypatch):
+    # small shards too: the scan is for graphs that fail the audit alone
+    r = np.random.default_rng(3)
+    x = embeddings._unit(np.repeat(r.standard_normal((10, 8)), 4, 0) + 0.02 * r.standard_normal((40, 8)))
+    _, _, ef = embeddings.linked(x, embeddings.Graph(x), 0.93)
+    assert ef == 40
 
 
 def test_graph_recall():
@@ -352,6 +408,33 @@ def test_html_marginals():
     assert got[len(other.parent) :][:n] == pytest.approx(on / total) and got[: len(other.parent)] == pytest.approx(got[-len(other.parent) :])
 
 
+def test_many_languages(spark):
+    rows = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 4, f"l{i % 1200:04d}", 1) for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    names = {r["lang_pred"] for r in language_id.language_id(d).collect()}
+    assert 1 < len(names) <= 256
+
+
+def test_language_model(spark):
+    # ties go to the first by code point; the scores are those of a plain multinomial model
+    rows = [(i, t, k) for i, (t, k) in enumerate([("aab", "x"), ("abb", "y"), ("ab ab", "z"), ("aab", "x"), ("bb", "y")] * 6)] + [(100, "", "x"), (101, "ab " * 30_000, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, logs = language_id.fit(d, modulus=3, held=1)
+    count = {k: collections.Counter() for k in names}
+    bits = language_id.BITS
+    for i, t, k in rows:
+        if k and zlib.crc32(str(i).encode()) % 3 != 1:
+            hashed, _, _ = language_id.grams(pa.array([t]))
+            for h in hashed:
+                count[k].update(x for x in h.tolist() if x)
+    for j, k in enumerate(names):
+        n = sum(count[k].values())
+        for g, c in count[k].items():
+            assert logs[g, j] == pytest.approx(np.log((c + 0.5) / (n + 0.5 * (1 << bits))), rel=1e-5)
+    same = spark.createDataFrame([(i, "same words", k) for i in range(30) for k in ("b", "a")], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language_id.language_id(same).collect()} == {"a"}
+
+
 @pytest.fixture(scope="module")
 def tokens():
     P = pytest.importorskip("public_tokenizers")
