@@ -178,7 +178,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 def _needed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Texts of all classes in pairs."""
     ids = C.checkpoint(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    texts = C.checkpoint(docs.select("doc_id", "text").join(C.small_side(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text"))
+    # rebalanced, or each task of the scan would write a file of a few rows
+    texts = C.checkpoint(docs.select("doc_id", "text").join(C.small_side(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").hint("rebalance"))
     if texts.count() > ids.count():  # repeated rows would meet each other
         texts = C.checkpoint(texts.withColumn("th", F.xxhash64("text")).dropDuplicates(["rep", "th"]).drop("th"))
     return texts
@@ -207,7 +208,7 @@ def _rest(docs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataF
     shingles, so that it isn't paired with the group's members.
     """
     some = C.small_side(C.checkpoint(rows.select(F.col("rep").alias("doc_id"), "n", "root").distinct()))
-    texts = C.checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, "doc_id").select(F.col("doc_id").alias("rep"), "n", "root", "text"))
+    texts = C.checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, "doc_id").select(F.col("doc_id").alias("rep"), "n", "root", "text").hint("rebalance"))
     shift = np.uint64(64 - BINS)
 
     def count(batches):
