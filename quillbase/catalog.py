@@ -405,3 +405,9 @@ def change_list(spark, sf_dir):
 def transform_round_date(spark, sf_dir):
     d = F.to_date("o_orderdate")
     return _t(spark, sf_dir, "orders").select(round_to(d, "decades", "date").alias("decade"), round_to(d, "quarters", "date").alias("quarter")).distinct()
+
+
+from . import catalog_store  # noqa: E402  (it uses the changelog of events above)
+
+QUERIES |= catalog_store.QUERIES
+ORACLE_SQL |= catalog_store.ORACLE_SQL

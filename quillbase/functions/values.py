@@ -45,23 +45,33 @@ def _wrap(total: Column, kind: str) -> Column:
     return low.cast(carrier)
 
 
-def sum_of(c: Column, kind: str) -> Column:
+def sum_of(c: Column, kind: str, precision: int = 38, scale: int = 0) -> Column:
     """Null without values; integers wrap in their own width, decimals raise beyond their digits, floats as usual."""
     if kind in NUMBERS and NUMBERS[kind][0]:
         return _wrap(F.sum(c.cast("decimal(20,0)")).cast("decimal(38,0)"), kind)
+    if kind == "decimal":
+        total = F.sum(c)
+        return F.when(F.abs(total) < F.lit("1" + "0" * (precision - scale)).cast("decimal(38,0)"), total.cast(f"decimal({precision},{scale})")).when(total.isNull(), F.lit(None)).otherwise(F.raise_error(F.lit("a decimal sum has too many digits")))
     return F.sum(c)
 
 
-def average_of(c: Column, kind: str, scale: int = 0) -> Column:
+def average_of(c: Column, kind: str, precision: int = 38, scale: int = 0) -> Column:
     """Integers: the wrapped sum by the count, towards zero, where the count narrows to the width too (a count that
-    narrows to 0 gives null). Decimals keep their scale, half to even. Floats as usual."""
+    narrows to 0 gives null). Decimals keep their scale, half to even, from the unscaled sum's quotient and remainder.
+    Floats as usual."""
     if kind in NUMBERS and NUMBERS[kind][0]:
         carrier = NUMBERS[kind][2]
         n = F.nullif(_wrap(F.count(c).cast("decimal(38,0)"), kind).cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
-        q = sum_of(c, kind).cast("decimal(20,0)") / n
-        return F.when(q < 0, F.ceil(q)).otherwise(F.floor(q)).cast(carrier)
+        t = sum_of(c, kind).cast("decimal(20,0)")
+        return ((t - t % n) / n).cast("decimal(20,0)").cast(carrier)
     if kind == "decimal":
-        return F.bround(F.sum(c) / F.count(c), scale)
+        n = F.count(c).cast("decimal(20,0)")
+        t = F.sum((c * F.lit(10**scale).cast(f"decimal({scale + 1},0)")).cast(f"decimal({min(precision, 28)},0)"))
+        rest = t % F.nullif(n, F.lit(0).cast("decimal(20,0)"))
+        q = ((t - rest) / n).cast(f"decimal({precision},0)")
+        twice = F.abs(rest) * 2
+        q = q + F.when((twice > n) | ((twice == n) & (q % 2 != 0)), F.signum(t).cast("int")).otherwise(0)
+        return F.when(n > 0, (q.cast(f"decimal({precision},0)") / F.lit(10**scale).cast(f"decimal({scale + 1},0)")).cast(f"decimal({precision},{scale})"))
     return F.avg(c)
 
 
@@ -114,11 +124,13 @@ class Clock:
         return version >> cls.LOGICAL, version & ((1 << cls.LOGICAL) - 1)
 
 
-def uuid_v4() -> Column:
-    return F.unhex(F.replace(F.uuid(), F.lit("-"), F.lit("")))
+def uuid_v4(seed: Column) -> Column:
+    """Bytes of a version 4 UUID from a seed of its own: the same whenever a task runs again."""
+    h = F.md5(seed.cast("string"))
+    return F.unhex(F.concat(F.substring(h, 1, 12), F.lit("4"), F.substring(h, 14, 3), F.lit("a"), F.substring(h, 18, 15)))
 
 
-def uuid_v7(version: int) -> Column:
-    """Milliseconds of a version, then random bits."""
-    rest = F.replace(F.uuid(), F.lit("-"), F.lit(""))
-    return F.unhex(F.concat(F.lit(f"{Clock.parts(version)[0]:012X}"), F.lit("7"), F.substring(rest, 14, 3), F.substring(rest, 17, 16)))
+def uuid_v7(version: int, seed: Column) -> Column:
+    """Milliseconds of a version, then bits from a seed."""
+    h = F.md5(seed.cast("string"))
+    return F.unhex(F.concat(F.lit(f"{Clock.parts(version)[0]:012X}"), F.lit("7"), F.substring(h, 14, 3), F.lit("a"), F.substring(h, 18, 15)))

@@ -103,7 +103,8 @@ class Prop:
 
 @dataclass(frozen=True)
 class Part:
-    """A key or index part. transform: ref, reversed, to_max, normalize, split, geohash, uuid4, uuid7."""
+    """A key or index part. transform: ref, reversed, to_max, normalize, geohash (option: bits), the several entries any,
+    any_key, any_value and split (option: what it splits on), and for keys uuid4 and uuid7, which are made when absent."""
 
     ref: str
     transform: str = "ref"
@@ -151,14 +152,14 @@ class Model:
     def key_columns(self) -> list[str]:
         return [p.ref for p in self.key]
 
-    def with_defaults(self, df: DataFrame) -> DataFrame:
+    def with_defaults(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         have = set(df.columns)
         cols = []
         for p in self.props:
             c = F.col(p.name) if p.name in have else F.lit(None)
             c = c.cast(p.type())
             cols.append((F.coalesce(c, F.lit(p.default).cast(p.type())) if p.default is not None else c).alias(p.name))
-        return df.select(*cols)
+        return df.select(*cols, *keep)
 
     def problems(self) -> Column:
         """Null, or the first problem of a row."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
@@ -25,18 +25,26 @@ class Search:
     on: str = text.WORD_BOUNDARY
     normalized: bool = True
 
-    def tokens(self) -> Column:
-        return text.tokens(*(F.col(f) for f in self.fields), on=self.on, normalized=self.normalized)
+    def any(self, test: Callable[[Column], Column]) -> Column:
+        """A test of the surface, which is made once for a row."""
+        return F.exists(F.array(text.surface(*(F.col(f) for f in self.fields), on=self.on, normalized=self.normalized)), test)
 
 
 @dataclass(frozen=True)
 class Context:
-    """What a filter is compiled against. transform: that of the index which is scanned, put on compared strings."""
+    """What a filter is compiled against. transforms: of the references that the scanned index holds, put on what is
+    compared with them; transform and literal: those of one reference."""
 
     searches: dict[str, Search] = field(default_factory=dict)
+    transforms: dict[str, tuple[Callable[[Column], Column], Callable[[str], str]]] = field(default_factory=dict)
     transform: Callable[[Column], Column] | None = None
     literal: Callable[[str], str] | None = None
 
+    def of(self, r: Ref) -> Context:
+        """The context of one reference."""
+        own = self.transforms.get(r.steps[0][1]) if len(r.steps) == 1 else None
+        return replace(self, transform=own[0], literal=own[1]) if own else self
+
     def left(self, c: Column, value: Any) -> Column:
         return self.transform(c) if self.transform and isinstance(value, str) else c
 
@@ -119,7 +127,7 @@ class _Pairs(Filter):
         raise NotImplementedError
 
     def compile(self, ctx):
-        return reduce(lambda a, b: a & b, (r.test(lambda c, v=v: self.leaf(c, v, ctx)) for r, v in self.pairs), F.lit(True))
+        return reduce(lambda a, b: a & b, (r.test(lambda c, r=r, v=v: self.leaf(c, v, ctx.of(r))) for r, v in self.pairs), F.lit(True))
 
 
 class Equals(_Pairs):
@@ -217,7 +225,7 @@ class Matches(_Named):
 
     def one(self, s, q):
         terms = text.query_terms(q, s.on, s.normalized)
-        return reduce(lambda a, b: a & b, (F.array_contains(s.tokens(), t) for t in terms)) if terms else F.lit(False)
+        return s.any(lambda x: reduce(lambda a, b: a & b, (x.contains(text.SEPARATOR + t + text.SEPARATOR) for t in terms))) if terms else F.lit(False)
 
 
 class MatchesPrefix(_Named):
@@ -225,14 +233,14 @@ class MatchesPrefix(_Named):
 
     def one(self, s, q):
         terms = text.query_terms(q, s.on, s.normalized)
-        return reduce(lambda a, b: a & b, (F.exists(s.tokens(), _begins(t)) for t in terms)) if terms else F.lit(False)
+        return s.any(lambda x: reduce(lambda a, b: a & b, (x.contains(text.SEPARATOR + t) for t in terms))) if terms else F.lit(False)
 
 
 class MatchesRegEx(_Named):
     """Some whole token matches."""
 
     def one(self, s, q):
-        return F.exists(s.tokens(), lambda x: x.rlike(rf"\A(?:{q})\z"))
+        return s.any(lambda x: F.exists(F.split(x, text.SEPARATOR), lambda t: (t != "") & t.rlike(rf"\A(?:{q})\z")))
 
 
 class _Geo(Filter):
@@ -269,10 +277,15 @@ KINDS = (And, Or, Not, Exists, Equals, LessThan, LessThanEquals, GreaterThan, Gr
 
 
 def _sargable(f: Filter, ctx: Context) -> Column | None:
-    """A top-level comparison of a plain column without the null guard, so that scans can push it down: a null fails
-    a conjunct of WHERE with or without it."""
-    if isinstance(f, _Pairs) and all(len(r.steps) == 1 for r in f.refs()) and not ctx.transform:
-        return reduce(lambda a, b: a & b, (f.leaf(F.col(f"`{r.steps[0][1]}`"), v, ctx) for r, v in f.pairs), F.lit(True))
+    """Comparisons of columns and struct fields, with And and Or over them, without the null guard, so that scans can
+    push them down: where no Not stands above, what is null fails as false does."""
+    if isinstance(f, (And, Or)):
+        parts = [_sargable(x, ctx) for x in f.filters]
+        if not parts or any(p is None for p in parts):
+            return None
+        return reduce(lambda a, b: a & b if isinstance(f, And) else a | b, parts)
+    if isinstance(f, _Pairs) and f.pairs and all(k == "field" for r in f.refs() for k, _ in r.steps) and not any(r.steps[0][1] in ctx.transforms for r in f.refs()):
+        return reduce(lambda a, b: a & b, (f.leaf(F.col(".".join(f"`{v}`" for _, v in r.steps)), v, ctx) for r, v in f.pairs))
     return None
 
 

@@ -72,19 +72,44 @@ def updates(log: DataFrame, key: list[str], from_version: int = 0, to_version: i
     return ranked.where((F.col("kind") == "Addition") | (F.col("__rank") <= max_versions)).drop("__rank").orderBy("_version", *key)
 
 
-def update_history(log: DataFrame, limit: int = 100, from_version: int = 0, to_version: int | None = None) -> DataFrame:
+def update_history(log: DataFrame, limit: int = 100, from_version: int = 0, to_version: int | None = None, key: list[str] | None = None) -> DataFrame:
     """Every write, newest first."""
     out = log.where(F.col("_version") >= from_version)
     if to_version is not None:
         out = out.where(F.col("_version") <= to_version)
-    keys = [c for c in log.columns if not c.startswith("_")][:1]
+    keys = key or [c for c in log.columns if not c.startswith("_")][:1]
     return out.orderBy(F.col("_version").desc(), *keys).limit(limit)
 
 
-def ordered_keys_diff(now: DataFrame, log: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """(key, kind, reason): what a client that knows these keys must remove (SoftDelete, HardDelete, NotInRange) or add."""
-    state = log.groupBy(key).agg(F.max_by("_op", "_version").alias("op"))
-    gone = known.select(key).join(now.select(key), key, "left_anti").join(state, key, "left")
+def ordered_keys_diff(now: DataFrame, log: DataFrame, known: DataFrame, key: str | list[str]) -> DataFrame:
+    """(key columns, kind, reason): what a client that knows these keys must remove (SoftDelete, HardDelete, NotInRange) or
+    add. Two anti joins and a lookup of the removed keys' last writes."""
+    key = [key] if isinstance(key, str) else key
+    gone = known.select(*key).join(now.select(*key), key, "left_anti")
+    state = log.join(gone, key, "left_semi").groupBy(*key).agg(F.max_by("_op", "_version").alias("op"))
     reason = F.when(F.col("op") == SOFT, "SoftDelete").when((F.col("op") == HARD) | F.col("op").isNull(), "HardDelete").otherwise("NotInRange")
-    new = now.select(key).join(known.select(key), key, "left_anti")
-    return gone.select(key, F.lit("Removal").alias("kind"), reason.alias("reason")).union(new.select(key, F.lit("Addition"), F.lit(None).cast("string")))
+    new = now.select(*key).join(known.select(*key), key, "left_anti")
+    removed = gone.join(state, key, "left").select(*key, F.lit("Removal").alias("kind"), reason.alias("reason"))
+    return removed.union(new.select(*key, F.lit("Addition"), F.lit(None).cast("string")))
+
+
+def type_changes(log: DataFrame, key: list[str], union: str) -> DataFrame:
+    """(key, _version, type): writes by which a union got another tag."""
+    d, _ = _with_previous(log, key)
+    tag = F.col(f"`{union}`").getField("type")
+    before = F.col("__before").getField(union).getField("type")
+    return d.where(F.col("_op").isin(ADD, CHANGE) & tag.isNotNull() & ~tag.eqNullSafe(before)).select(*key, "_version", tag.alias("type"))
+
+
+def index_changes(log: DataFrame, key: list[str], parts: list[Column]) -> DataFrame:
+    """(key, _version, kind, entry, previous): writes by which a record's entry in an index came, moved or went (New,
+    Update, Delete); parts give the entry of a row, and a record with an absent part has none."""
+    alive = F.col("_op").isin(ADD, CHANGE)
+    whole = parts[0].isNotNull()
+    for p in parts[1:]:
+        whole = whole & p.isNotNull()
+    entry = F.when(alive & whole, F.to_json(F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)])))
+    d = log.select(*key, "_version", entry.alias("entry"))
+    d = d.withColumn("previous", F.lag("entry").over(Window.partitionBy(*key).orderBy("_version"))).where(~F.col("entry").eqNullSafe(F.col("previous")))
+    kind = F.when(F.col("previous").isNull(), "New").when(F.col("entry").isNull(), "Delete").otherwise("Update")
+    return d.select(*key, "_version", kind.alias("kind"), "entry", "previous")

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import base64
+import datetime as dt
 import hashlib
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..model import Index, Model
+from ..functions import geo, text
+from ..functions.refs import Ref, ref
+from ..model import NUMBERS, Index, Model, ModelError, Part, Prop
 from ..operators import filters as fl
 from ..operators.aggregations import aggregate
 from ..operators.projection import Pick, project
@@ -158,16 +162,68 @@ def _guard(model: Model, request: Scan, info: PlanInfo) -> None:
             raise RequestError("the filter reads the whole table: allow_table_scan")
 
 
-def order_columns(model: Model, request: Scan, info: PlanInfo) -> list[tuple[str, bool]]:
-    """(column, descending) that order a page; ties by key in the scan's direction."""
-    key = [(p.ref, (p.transform == "reversed") != info.descending) for p in model.key]
-    if any(o.name is not None for o in request.order):
-        own = [(o.name, o.descending) for o in request.order if o.name is not None]
-    elif info.index:
-        own = [(p.ref, (p.transform == "reversed") != info.descending) for p in _index(model, info.index).parts]
+#: The largest dates that an absent one stands for.
+MAX_DATE, MAX_DATETIME, MAX_TIME = "9999-12-31", "9999-12-31 23:59:59.999999", 24 * 3600 * 10**9 - 1
+#: Parts with several entries a record: list items and set values, map keys, map values, words.
+ENTRIES = ("any", "any_key", "any_value", "split")
+
+
+def max_of(p: Prop) -> Column:
+    """What an absent value counts as under to_max: the property's maximum, or its type's."""
+    if p.max_value is not None:
+        return F.lit(p.max_value).cast(p.type())
+    if p.kind in NUMBERS:
+        bits, signed, carrier = NUMBERS[p.kind]
+        if not bits:
+            return F.lit(3.4028234663852886e38 if p.kind == "float32" else 1.7976931348623157e308).cast(carrier)
+        return F.lit(str((1 << (bits - signed)) - 1)).cast(carrier)
+    if p.kind == "decimal":
+        return F.lit("9" * (p.precision - p.scale) + "." + "9" * p.scale).cast(p.type())
+    known = {"date": MAX_DATE, "datetime": MAX_DATETIME, "time": MAX_TIME}
+    if p.kind not in known:
+        raise ModelError(f"{p.name}: no maximum")
+    return F.lit(known[p.kind]).cast(p.type())
+
+
+def _tests(f: fl.Filter | None, name: str) -> list[Callable[[Column], Column]]:
+    """What the filter's conjuncts ask of any entry of a property."""
+    if isinstance(f, fl.And):
+        return [t for x in f.filters for t in _tests(x, name)]
+    if isinstance(f, fl._Pairs):
+        test = lambda v: lambda c: F.coalesce(f.leaf(c, v, fl.Context()), F.lit(False))
+        return [test(v) for r, v in f.pairs if r.steps[0][1] == name and len(r.steps) == 2 and r.steps[1][0] in ("any", "any_key", "any_value")]
+    return []
+
+
+def part_value(model: Model, part: Part, descending: bool = False, where: fl.Filter | None = None) -> Column:
+    """What orders a record at a part of an index; null if the record isn't in the index. A part with several entries
+    stands for the first of those that the filter takes, in the scan's direction; as several such parts make every
+    combination, the first combination has the first entry of each."""
+    c = ref(part.ref).value()
+    if part.transform == "to_max":
+        return F.coalesce(c, max_of(model.prop(part.ref)))
+    if part.transform == "normalize":
+        return text.normalize(c)
+    if part.transform == "geohash":
+        return geo.geohash(c.getField("lat"), c.getField("lon"), part.option or 32)
+    if part.transform in ENTRIES:
+        entries = {"any": c, "any_key": F.map_keys(c), "any_value": F.map_values(c)}[part.transform] if part.transform != "split" else text.split(c, part.option or text.WORD_BOUNDARY)
+        for test in _tests(where, part.ref):
+            entries = F.filter(entries, test)
+        return F.array_max(entries) if descending else F.array_min(entries)
+    return c
+
+
+def order_columns(model: Model, request: Scan, info: PlanInfo) -> list[tuple[Column, bool]]:
+    """(value, descending) that order a page: an index by its parts' values; ties by key in the scan's direction."""
+    turned = lambda p: (p.transform == "reversed") != info.descending
+    key = [(p.ref, ref(p.ref).value(), turned(p)) for p in model.key]
+    if info.index:
+        own = [(p.ref if p.transform in ("ref", "reversed") else None, part_value(model, p, turned(p), request.where), turned(p)) for p in _index(model, info.index).parts]
     else:
-        own = []
-    return own + [k for k in key if k[0] not in {n for n, _ in own}]
+        own = [(o.name, F.col(f"`{o.name}`"), o.descending) for o in request.order if o.name is not None]
+    done = {n for n, _, _ in own if n}
+    return [(c, d) for _, c, d in own] + [(c, d) for n, c, d in key if n not in done]
 
 
 def _index(model: Model, name: str) -> Index:
@@ -175,19 +231,27 @@ def _index(model: Model, name: str) -> Index:
 
 
 def context(model: Model, info: PlanInfo | None = None) -> fl.Context:
-    """Named searches, and the transform of the index that is scanned."""
+    """Named searches, and the transforms of the references that the scanned index holds."""
     searches = {i.name: fl.Search(tuple(p.ref for p in i.parts), *([i.parts[0].option] if i.parts[0].option else [])) for i in model.indexes if i.search}
-    if info and info.index and any(p.transform == "normalize" for p in _index(model, info.index).parts):
-        return fl.Context(searches, text.normalize, text.normalize_term)
-    return fl.Context(searches)
+    parts = _index(model, info.index).parts if info and info.index else ()
+    return fl.Context(searches, {p.ref: (text.normalize, text.normalize_term) for p in parts if p.transform == "normalize"})
+
 
+def _literal(v: Any, kind: str) -> Column:
+    """A value of a Spark type; dates travel as text, as a literal's time zone must not shift them."""
+    return F.lit(str(v) if isinstance(v, (dt.date, dt.datetime, Decimal)) else bytes(v) if isinstance(v, bytearray) else v).cast(kind)
 
-def _after(cols: list[tuple[str, bool]], values: list, inclusive: bool) -> Column:
-    """Rows at or after a place in the order."""
+
+def _after(cols: list[tuple[Column, bool]], values: list, kinds: list[str], inclusive: bool) -> Column:
+    """Rows at or after a place in the order, in which nulls come first, or last if it descends."""
     out = F.lit(inclusive)
-    for (c, down), v in reversed(list(zip(cols, values))):
-        beyond = F.col(c) < F.lit(v) if down else F.col(c) > F.lit(v)
-        out = beyond | ((F.col(c) == F.lit(v)) & out)
+    for (c, down), v, kind in reversed(list(zip(cols, values, kinds))):
+        if v is None:
+            beyond, same = (F.lit(False) if down else c.isNotNull()), c.isNull()
+        else:
+            at = _literal(v, kind)
+            beyond, same = ((c < at) | c.isNull() if down else c > at), c == at
+        out = F.coalesce(beyond, F.lit(False)) | (F.coalesce(same, F.lit(False)) & out)
     return out
 
 
@@ -197,26 +261,42 @@ def fingerprint(model: Model, request: Scan) -> str:
 
 
 def _describe(f: Any) -> Any:
+    """The same in every process: sets and dictionaries in order, tables by their columns."""
     if isinstance(f, fl.Filter):
-        return [type(f).__name__, {k: _describe(v) for k, v in vars(f).items()}]
+        return [type(f).__name__, {k: _describe(v) for k, v in sorted(vars(f).items())}]
+    if isinstance(f, Ref):
+        return [[k, _describe(v)] for k, v in f.steps]
+    if isinstance(f, (set, frozenset)):
+        return sorted((_describe(x) for x in f), key=str)
+    if isinstance(f, dict):
+        return sorted(([_describe(k), _describe(v)] for k, v in f.items()), key=str)
     if isinstance(f, (list, tuple)):
         return [_describe(x) for x in f]
+    if hasattr(f, "table"):
+        return [f.name, f.key, f.table.columns]
     return repr(f)
 
 
+#: How a place's values are written, and read.
+_WRITE: dict[type, tuple[str, Callable[[Any], str]]] = {bool: ("bool", str), int: ("int", str), float: ("float", repr), str: ("str", str), bytes: ("bytes", bytes.hex), bytearray: ("bytes", lambda v: bytes(v).hex()), Decimal: ("decimal", str), dt.datetime: ("datetime", dt.datetime.isoformat), dt.date: ("date", dt.date.isoformat)}
+_READ: dict[str, Callable[[str], Any]] = {"bool": lambda s: s == "True", "int": int, "float": float, "str": str, "bytes": bytes.fromhex, "decimal": Decimal, "datetime": dt.datetime.fromisoformat, "date": dt.date.fromisoformat}
+
+
 def encode_cursor(model: Model, request: Scan, values: list) -> str:
-    return base64.urlsafe_b64encode(json.dumps({"for": fingerprint(model, request), "at": [[type(v).__name__, str(v)] for v in values]}).encode()).decode()
+    at = [None if v is None else [(kind := _WRITE[type(v)])[0], kind[1](v)] for v in values]
+    return base64.urlsafe_b64encode(json.dumps({"for": fingerprint(model, request), "at": at}).encode()).decode()
 
 
 def decode_cursor(model: Model, request: Scan, token: str) -> list:
     try:
         got = json.loads(base64.urlsafe_b64decode(token))
-    except ValueError as e:
+        if got.get("for") != fingerprint(model, request):
+            raise RequestError("the cursor is of another query or model")
+        return [None if x is None else _READ[x[0]](x[1]) for x in got["at"]]
+    except RequestError:
+        raise
+    except (ValueError, KeyError, TypeError, IndexError, AttributeError) as e:
         raise RequestError("not a cursor") from e
-    if got.get("for") != fingerprint(model, request):
-        raise RequestError("the cursor is of another query or model")
-    read = {"int": int, "float": float, "bool": lambda s: s == "True", "str": str}
-    return [read.get(k, str)(v) for k, v in got["at"]]
 
 
 def fetch_get(model: Model, table: DataFrame, request: Get) -> Response:
@@ -241,31 +321,40 @@ def fetch_scan(model: Model, table: DataFrame, request: Scan) -> Response:
     info = choose(model, request)
     _guard(model, request, info)
     cols = order_columns(model, request, info)
-    out = _visible(table, request.filter_soft_deleted)
-    out = fl.where(out, request.where, context(model, info))
-    if info.index:  # a record without all parts isn't in the index
-        for p in _index(model, info.index).parts:
-            if p.transform != "to_max":
-                out = out.where(F.col(p.ref).isNotNull())
-    if request.cursor:
-        out = out.where(_after(cols, decode_cursor(model, request, request.cursor), False))
-    elif request.start_key is not None:
-        n = len(model.key)
-        out = out.where(_after([c for c in cols if c[0] in model.key_columns()][:n], list(request.start_key), request.include_start))
-    page = out.orderBy(*[F.col(c).desc() if d else F.col(c).asc() for c, d in cols]).limit(request.limit)
+    seen = _visible(table, request.filter_soft_deleted)
+    out = fl.where(seen, request.where, context(model, info))
+    for c, _ in cols[: len(_index(model, info.index).parts)] if info.index else []:  # a record without all parts isn't in the index
+        out = out.where(c.isNotNull())
+    if request.cursor or request.start_key is not None:
+        kinds = [f.dataType.simpleString() for f in table.select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(cols)]).schema]
+        if request.cursor:
+            out = out.where(_after(cols, decode_cursor(model, request, request.cursor), kinds, False))
+        elif (place := _place(model, table, request, info, cols)) is not None:
+            out = out.where(_after(cols, place, kinds, request.include_start))
+    page = out.orderBy(*[c.desc() if d else c.asc() for c, d in cols]).limit(request.limit)
     response = _finish(model, page, request, info)
 
     def after() -> str | None:
-        got = page.select(*[c for c, _ in cols]).collect()  # a page: at most MAX_LIMIT keys
+        got = page.select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(cols)]).collect()  # a page: at most MAX_LIMIT keys
         return encode_cursor(model, request, list(got[-1])) if len(got) == request.limit else None
 
     response._next = after
     return response
 
 
+def _place(model: Model, table: DataFrame, request: Scan, info: PlanInfo, cols: list[tuple[Column, bool]]) -> list | None:
+    """Where the start key's record lies in the order. In key order that is the key itself; in another it is looked up,
+    and a record that isn't there bounds nothing."""
+    if not info.index and not any(o.name for o in request.order):
+        return list(request.start_key)
+    own = reduce(lambda a, b: a & b, (F.col(f"`{p.ref}`") == _literal(v, table.schema[p.ref].dataType.simpleString()) for p, v in zip(model.key, request.start_key)))
+    got = table.where(own).select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(cols)]).head(1)
+    return list(got[0]) if got else None
+
+
 def _finish(model: Model, page: DataFrame, request: Get | Scan, info: PlanInfo, keep: tuple[str, ...] = ()) -> Response:
     """Aggregations see the page before projection."""
-    aggs = aggregate(page, request.aggregations) if request.aggregations else None
+    aggs = aggregate(page, request.aggregations, model) if request.aggregations else None
     meta = tuple(c for c in page.columns if c.startswith("_") and c not in keep)
     keys = tuple(k for k in model.key_columns() if request.select is not None and k not in {p if isinstance(p, str) else p.name for p in request.select})
     rows = page if request.select is None else project(page, request.select, (*keep, *keys, *meta))
@@ -274,15 +363,23 @@ def _finish(model: Model, page: DataFrame, request: Get | Scan, info: PlanInfo,
 
 def scan_index_any(table: DataFrame, key: list[str], entries: Column, prefix: str | None = None, descending: bool = False, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """A scan of an index with several entries a record (list items, set values, map keys, tokens): each record once, at
-    the first of its entries in the scan's direction."""
-    e = table.withColumn("__entry", F.explode(entries))
+    the first of its entries in the scan's direction, in that order."""
     if prefix is not None:
-        e = e.where(F.col("__entry").startswith(prefix))
-    best = F.max("__entry") if descending else F.min("__entry")
-    first = e.groupBy(*key).agg(best.alias("__entry"))
+        entries = F.filter(entries, lambda x: x.startswith(prefix))
+    out = table.withColumn("__entry", F.array_max(entries) if descending else F.array_min(entries)).where(F.col("__entry").isNotNull())
     turn = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    page = first.orderBy(turn("__entry"), *[turn(k) for k in key]).limit(limit)
-    return table.join(page, key)
+    return out.orderBy(turn("__entry"), *[turn(k) for k in key]).limit(limit)
+
+
+def collect(requests: list[tuple[str, Callable[[dict[str, Response]], Response]]]) -> dict[str, Response]:
+    """A batch of named requests; each is made from the responses before it, whose rows it may inject (collect_inject).
+    Responses are DataFrames, so nothing runs until one is read."""
+    done: dict[str, Response] = {}
+    for name, make in requests:
+        if name in done:
+            raise RequestError(f"{name} is collected twice")
+        done[name] = make(done)
+    return done
 
 
 def collect_inject(first: DataFrame, value: Column, second: DataFrame, key: str) -> DataFrame:

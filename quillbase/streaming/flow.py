@@ -40,34 +40,62 @@ def fold(page: list[dict], updates: list[dict], key: list[str]) -> list[dict]:
     name = lambda r: tuple(r[k] for k in key)
     page = list(page)
     for u in updates:
-        if u["kind"] == "InitialValues":
+        if u["kind"] in ("InitialValues", "InitialChanges", "OrderedKeys"):
             page = list(u["values"])
             continue
+        if u["kind"] == "Past":  # what led to the page
+            continue
         page = [r for r in page if name(r) != u["key"]]
         if u["kind"] != "Removal":
             page.insert(u["index"], u["values"])
     return page
 
 
-def execute_flow(store: Store, request: requests.Scan, sink: Sink, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Streams a scan's updates to sink(batch, updates). toVersion isn't allowed.
+#: What a flow follows, and its first element.
+FIRST = {"get": "InitialValues", "scan": "InitialValues", "get_changes": "InitialChanges", "scan_changes": "InitialChanges", "get_updates": "OrderedKeys", "scan_updates": "OrderedKeys"}
+
 
+def execute_flow(store: Store, request: requests.Scan | requests.Get, sink: Sink, checkpoint: str, once: bool = False, kind: str | None = None, max_versions: int = 1) -> StreamingQuery:
+    """Streams a request's updates to sink(batch, updates). toVersion isn't allowed.
+
+    kind is one of FIRST, by default get or scan after the request. Flows of changes begin with the versioned changes of
+    the page's keys, those of updates with its ordered keys and the updates so far; changes of pages follow in all alike.
     A batch is pinned to the newest version it brought, so what is written meanwhile waits for its own batch. After a
-    restart the first batch gives initial values again: delivery is at least once, and fold() is idempotent.
+    restart the first batch gives the first element again: delivery is at least once, and fold() is idempotent.
     """
+    kind = kind or ("scan" if isinstance(request, requests.Scan) else "get")
+    if kind not in FIRST or kind.startswith("scan") != isinstance(request, requests.Scan):
+        raise requests.RequestError(f"no flow of {kind} for this request")
     if request.to_version is not None:
         raise requests.RequestError("a flow has no end version")
+    if kind in ("scan_changes", "scan_updates"):
+        requests.immutable_only(store.model, request.where if kind == "scan_changes" else None, request.order)
     spark: SparkSession = store.spark
     state: dict[str, list[dict] | None] = {"page": None}
 
+    def rows_at(top: int) -> list[dict]:
+        """One page, or the asked keys."""
+        if kind.startswith("scan"):
+            page = requests.fetch_scan(store.model, store.snapshot(top), request).rows
+        else:
+            page = requests.fetch_get(store.model, store.snapshot(top, store._keys(list(request.keys)).distinct()), request).rows.drop("__ordinal")
+        return [r.asDict(True) for r in page.collect()]
+
+    def first(rows: list[dict], top: int) -> list[dict]:
+        keys = [tuple(r[k] for k in store.key) for r in rows]
+        if FIRST[kind] == "InitialValues" or not keys:
+            return [{"kind": FIRST[kind], "values": rows, "keys": keys}]
+        if FIRST[kind] == "InitialChanges":
+            return [{"kind": "InitialChanges", "changes": [r.asDict(True) for r in store.get_changes(keys, 0, top, max_versions).collect()], "values": rows}]
+        return [{"kind": "OrderedKeys", "keys": keys, "values": rows}, *({"kind": "Past", "update": r.asDict(True)} for r in store.get_updates(keys, 0, top, max_versions).collect())]
+
     def batch(changed: DataFrame, n: int) -> None:
         top = changed.agg(F.max("_version")).first()[0]
         if top is None:
             return
-        table = history.as_of(store.log(), store.key, top)
-        rows = [r.asDict(True) for r in requests.fetch_scan(store.model, table, request).rows.collect()]  # one page
+        rows = rows_at(top)
         gone = {tuple(r[k] for k in store.key): ("SoftDelete" if r["_op"] == history.SOFT else "HardDelete") for r in _removed(changed, store.key, state["page"])}
-        updates = page_updates(state["page"], rows, store.key, gone)
+        updates = first(rows, top) if state["page"] is None else page_updates(state["page"], rows, store.key, gone)
         state["page"] = rows
         if updates:
             sink(n, updates)

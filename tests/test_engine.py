@@ -243,7 +243,7 @@ def test_store(spark, store, tmp_path):
     assert kinds == [(1, "Addition", None), (2, "Addition", None), (1, "Change", None), (2, "Removal", "SoftDelete")]
     changes = {r["id"]: [[c["path"] for c in v["changes"]] for v in r["versions"]] for r in s.get_changes([1], max_versions=5).collect()}
     assert changes == {1: [["days", "email", "inc", "n", "name", "tags"], ["days", "inc", "tags"]]}
-    assert s.scan_update_history(1).first()["_op"] == "soft_delete"
+    assert s.scan_update_history(1, filter_soft_deleted=False).first()["_op"] == "soft_delete" and s.scan_update_history(1).first()["_op"] == "change"
     keys, ups = s.scan_updates(rq.Scan(), ordered_keys=[1, 2, 50])
     assert sorted((r["id"], r["kind"], r["reason"]) for r in ups.where("_version is null").collect()) == [(2, "Removal", "SoftDelete"), (6, "Addition", None), (50, "Removal", "HardDelete")]
     with pytest.raises(rq.RequestError):
@@ -281,3 +281,130 @@ def test_page_updates():
 
 def test_schema_metadata():
     assert LOG.schema()["severity"].metadata == {"index": 2} and isinstance(LOG.schema()["timestamp"].dataType, T.TimestampNTZType)
+
+
+PAIR = Model("Pair", (Prop(1, "a", "sint32"), Prop(2, "b", "sint32"), Prop(3, "n", "sint32", required=False)), key=(Part("a"), Part("b")), indexes=(Index("ba", (Part("b"), Part("a"))), Index("n", (Part("n"),)), Index("top", (Part("n", "to_max"),))))
+
+
+def test_start_key_in_index_order(spark):
+    rows = [(a, b, 10 * a + b if (a + b) % 2 else None) for a in (1, 2, 3) for b in (10, 20, 30)]
+    d = spark.createDataFrame(rows, "a int, b int, n int")
+    run = lambda **k: [(r["a"], r["b"]) for r in rq.fetch_scan(PAIR, d, rq.Scan(**k)).rows.collect()]
+    order = (rq.Order("b"), rq.Order("a"))
+    want = sorted(((a, b) for a, b, _ in rows), key=lambda x: (x[1], x[0]))
+    assert run(order=order, start_key=(2, 20)) == [x for x in want if (x[1], x[0]) >= (20, 2)]
+    assert run(order=order, start_key=(2, 20), include_start=False) == [x for x in want if (x[1], x[0]) > (20, 2)]
+    assert run(order=order, start_key=(9, 9)) == want  # a record that isn't there bounds nothing
+    assert run(order=(rq.Order("b", True), rq.Order("a", True)), start_key=(2, 20)) == [x for x in want[::-1] if (x[1], x[0]) <= (20, 2)]
+    assert run(start_key=(2, 20)) == [(2, 20), (2, 30), (3, 10), (3, 20), (3, 30)]
+
+
+def test_absent_counts_as_the_maximum(spark):
+    d = spark.createDataFrame([(1, 1, None), (2, 1, 5), (3, 1, 2**31 - 1), (4, 1, -7)], "a int, b int, n int")
+    model = Model("M", PAIR.props, key=PAIR.key, indexes=(PAIR.indexes[2],))
+    r = rq.Scan(order=(rq.Order("n"),), limit=2)
+    assert [x["a"] for x in rq.fetch_scan(model, d, rq.Scan(order=(rq.Order("n"),))).rows.collect()] == [4, 2, 1, 3]
+    token = rq.fetch_scan(model, d, r).next_cursor()
+    from dataclasses import replace
+
+    assert [x["a"] for x in rq.fetch_scan(model, d, replace(r, cursor=token)).rows.collect()] == [1, 3]
+
+
+def test_normalized_index_leaves_other_columns(spark):
+    model = Model("N", (Prop(1, "id", "sint32"), Prop(2, "s", "string"), Prop(3, "c", "string")), key=(Part("id"),), indexes=(Index("s", (Part("s", "normalize"),)),))
+    d = spark.createDataFrame([(1, "b", "X"), (2, "A", "x"), (3, "C", "X")], "id int, s string, c string")
+    run = lambda **k: [r["id"] for r in rq.fetch_scan(model, d, rq.Scan(order=(rq.Order("s"),), allow_table_scan=True, **k)).rows.collect()]
+    assert run() == [2, 1, 3] and run(where=fl.Equals(c="X")) == [1, 3] and run(where=fl.Equals(s="á")) == [2]
+
+
+def test_cursor_is_the_same_in_other_processes():
+    import subprocess
+    import sys
+
+    code = "from quillbase.plans import requests as rq; from quillbase.operators import filters as fl; from tests.test_engine import PAIR; print(rq.fingerprint(PAIR, rq.Scan(where=fl.ValueIn(n=set('abcdefgh')))))"
+    got = {subprocess.run([sys.executable, "-c", code], env={**__import__("os").environ, "PYTHONHASHSEED": s}, capture_output=True, text=True, cwd=str(__import__("pathlib").Path(__file__).parents[1])).stdout.strip() for s in ("1", "2")}
+    assert len(got) == 1 and got != {""}
+    values = [None, b"\x00\xff", 1.5, dt.datetime(2020, 1, 2, 3, 4, 5, 6), dt.date(2020, 1, 2), True, "ü", 7]
+    r = rq.Scan()
+    assert rq.decode_cursor(PAIR, r, rq.encode_cursor(PAIR, r, values)) == values
+    with pytest.raises(rq.RequestError):
+        rq.decode_cursor(PAIR, r, "bm90")
+
+
+def test_aggregation_kinds(spark):
+    from decimal import Decimal
+
+    d = spark.createDataFrame([(2**31 - 1, Decimal("0E-10")), (2**31 - 1, Decimal("1E-10")), (1, None)], "v int, m decimal(20,10)")
+    assert ag.aggregate(d, {"s": ag.Sum("v")}).first()["s"] == -1  # in its own width
+    assert ag.aggregate(d.where("v = 1 or v = 2147483647").limit(3), {"a": ag.Average("v")}).schema["a"].dataType.simpleString() == "int"
+    assert ag.aggregate(d, {"a": ag.Average("m")}).first()["a"] == Decimal("0E-10")  # half to even
+    up = spark.createDataFrame([(Decimal("0.01"),), (Decimal("0.02"),), (Decimal("-0.03"),), (Decimal("-0.02"),)], "m decimal(10,2)")
+    assert ag.aggregate(up.limit(2), {"a": ag.Average("m")}).first()["a"] == Decimal("0.02")
+    assert ag.aggregate(up.where("m < 0"), {"a": ag.Average("m")}).first()["a"] == Decimal("-0.02")
+    with pytest.raises(ModelError):
+        ag.aggregate(d.select(F.lit("1").alias("v")), {"s": ag.Sum("v")})
+    with pytest.raises(Exception, match="too many digits"):
+        ag.aggregate(spark.createDataFrame([(Decimal("9.9"),), (Decimal("9.9"),)], "m decimal(2,1)"), {"s": ag.Sum("m")}).collect()
+
+
+def test_decimals(spark):
+    from decimal import Decimal
+
+    from quillbase.functions import decimals as de
+
+    d = spark.createDataFrame([(Decimal("7.50"), Decimal("2.5"))], "a decimal(10,2), b decimal(10,1)")
+    a, b = F.col("a"), F.col("b")
+    r = d.select(de.divide_exact(a, b, 1).alias("q"), de.rescale_exact(a, 1).alias("r"), de.times(a, b, 2, 1).alias("t"), de.compare(a, b).alias("c"), de.minus(a, b).alias("m")).first()
+    assert (r["q"], r["r"], r["t"], r["c"], r["m"]) == (Decimal("3.0"), Decimal("7.5"), Decimal("18.750"), 1, Decimal("5.00"))
+    for bad in (de.divide_exact(a, F.lit(7).cast("decimal(2,0)"), 2), de.divide_exact(a, F.lit(0).cast("decimal(2,0)"), 2), de.rescale_exact(a + F.lit(Decimal("0.01")), 1)):
+        with pytest.raises(Exception, match="decimal|zero"):
+            d.select(bad).collect()
+
+
+def test_or_is_pushed_down(spark, tmp_path, two):
+    two.withColumn("s", F.struct("int")).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    plan = fl.where(t, fl.Or(fl.Equals(int=5), fl.GreaterThan((ref("s.int"), 9))))._jdf.queryExecution().toString()
+    assert "Or(EqualTo(int,5),GreaterThan(s.int,9))" in plan
+
+
+def test_get_reads_its_keys_only(store):
+    plan = store.get(rq.Get((1,))).rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")  # the keys' join stands below the aggregation
+
+
+def test_generated_keys(spark, tmp_path):
+    for kind, mark in (("uuid4", "4"), ("uuid7", "7")):
+        model = Model("G", (Prop(1, "id", "fixedbytes"), Prop(2, "v", "sint32")), key=(Part("id", kind),))
+        s = Store(spark, str(tmp_path / kind), model)
+        out = s.add(spark.createDataFrame([(i,) for i in range(20)], "v int")).collect()
+        ids = {bytes(r["id"]) for r in out}
+        assert len(ids) == 20 and {r["status"] for r in out} == {"AddSuccess"} and {i.hex()[12] for i in ids} == {mark} and {len(i) for i in ids} == {16}
+        assert {bytes(r["id"]) for r in s.snapshot().collect()} == ids
+
+
+def test_batches_in_order(spark, store):
+    rows = [(10, "ha", "p@x"), (10, "ha", None), (11, "no", "q@x"), (11, "ha", "p@x"), (11, "ha", "q@x"), (12, "ha", "q@x"), (1, "ha", None)]
+    got = [(r["id"], r["status"]) for r in store.add(spark.createDataFrame(rows, "id long, name string, email string").coalesce(1)).collect()]
+    assert got == [(10, "AddSuccess"), (10, "AlreadyExists"), (11, "ValidationFail"), (11, "ValidationFail"), (11, "AddSuccess"), (12, "ValidationFail"), (1, "AlreadyExists")]
+    assert store.change([]).count() == 0
+    out = store.change([(1, (IncMapChange("inc", ("two", "three")),), None)]).first()
+    assert out["added_keys"] == {"inc": [2, 3]}
+    store.clean()
+
+
+def test_scan_updates_recent(store):
+    store.change([(1, (Change((("n", 4),)),), None)])
+    keys, _ = store.scan_updates(rq.Scan(limit=1), recent_first=True)
+    assert [r["id"] for r in keys.collect()] == [1]
+    assert store.scan_update_history(where=fl.Equals(n=4)).count() == 1
+
+
+@pytest.mark.parametrize("kind,first", [("scan_changes", "InitialChanges"), ("scan_updates", "OrderedKeys"), ("get", "InitialValues"), ("get_updates", "OrderedKeys")])
+def test_flow_kinds(store, tmp_path, kind, first):
+    got = []
+    request = rq.Scan(limit=2) if kind.startswith("scan") else rq.Get((1, 2))
+    execute_flow(store, request, lambda n, u: got.extend(u), str(tmp_path / "cp"), once=True, kind=kind).awaitTermination()
+    assert got[0]["kind"] == first and [r["id"] for r in fold([], got, ["id"])] == [1, 2]
+    with pytest.raises(rq.RequestError):
+        execute_flow(store, request, print, str(tmp_path / "x"), kind="get" if kind.startswith("scan") else "scan")
