@@ -22,7 +22,7 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 #: Text handled at once by the vectorised scanners; a longer single text is still handled whole.
 SLICE_BYTES = 1 << 20
 #: Most bytes of rows that Spark sends to a Python worker at once.
-ARROW_BYTES = 12 << 20
+ARROW_BYTES = 8 << 20
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Most rows of (id, small values) that may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 200_000

@@ -35,7 +35,7 @@ BINS = 18
 #: Occurrences from which on a word of a prefix is met together with the next shared word.
 CHAIN = 20_000
 #: Earlier classes that a class asks in one word's list before what it asked is verified.
-ASKED = 2
+ASKED = 4
 #: Smaller sets have 64 parities, the folded ones.
 WIDE = 48
 #: Prefix words compared in one task.
@@ -413,7 +413,7 @@ def removed(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFrame
         rest = C.checkpoint(rest.distinct().join(best, [*_B, *_A], "left_anti"))
         later = later.union(_later(docs, rest, percent))
         C.release(rest)
-    known = classes.select("key_a", "key_b", "doc", "line", "tag", "lines").join(later.toDF("doc", "line", "tag").withColumn("later", F.lit(True)), ["doc", "line", "tag"], "left")
+    known = classes.select("key_a", "key_b", "doc", "line", "tag", "lines").join(C.small_side(later.toDF("doc", "line", "tag").withColumn("later", F.lit(True))), ["doc", "line", "tag"], "left")
     known = C.checkpoint(known.where("lines > 1 or later").select("key_a", "key_b", F.struct("doc", "line").alias("first"), F.coalesce("later", F.lit(False)).alias("later")))
     C.release(classes, pairs, best, left)
     out = places.join(known, ["key_a", "key_b"]).where(F.col("later") | (F.struct("doc", "line") > F.col("first"))).select("doc", "th", "line")

@@ -32,7 +32,8 @@ BLOCK = 1 << 19
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _UNEVEN = f"{_WHITE} | {_WHITE}"
 _loaded: dict[str, tuple] = {}
-SLICE = 12 << 20
+#: Bytes of text encoded at once.
+SLICE = 8 << 20
 
 
 def tokenizer(path: str):
@@ -238,10 +239,16 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
         for b in C.slices(batches, "text", SLICE):
             name, text = b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("text"))
-            id_type = name.type
-            packer.add(name.to_pylist(), *encode(text, tokenizer_path))
-            if len(packer.ids) >= BLOCK and (rows := packer.settle(False)):
-                yield out(rows)
+            id_type, names = name.type, name.to_pylist()
+            ids, off = encode(text, tokenizer_path)
+            at = 0
+            while at < len(names):  # as many documents as a block holds, or one
+                end = max(at + 1, int(np.searchsorted(off, off[at] + BLOCK, "right")) - 1)
+                packer.add(names[at:end], ids[off[at] : off[end]], off[at : end + 1] - off[at])
+                at = end
+                if len(packer.ids) >= BLOCK and (rows := packer.settle(False)):
+                    yield out(rows)
+            del ids, off
         if rows := packer.settle(True):
             yield out(rows)
 
