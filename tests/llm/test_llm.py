@@ -606,3 +606,24 @@ def test_pipeline_stages(spark, learnt, tokens, tmp_path):
         for r in rows:
             total[r["doc_id"]] += r["length"]
         assert total == size
+
+
+def test_embeddings_in_cells(spark, monkeypatch):
+    # a label of many cells, one of them so dense that it is dealt into parts: all links, and few graphs asked by a vector
+    monkeypatch.setattr(embeddings, "SHARD", 100)
+    r = np.random.default_rng(12)
+    far = r.standard_normal((1200, 32))
+    dense = far[0] + 0.2 * r.standard_normal((500, 32))
+    x = np.concatenate((far, far[:300] + 0.1 * r.standard_normal((300, 32)), dense)).astype(np.float32)
+    u = embeddings._unit(x.astype(float))
+    near = (u @ u.T >= 0.93) & ~np.eye(len(u), dtype=bool)
+    d = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<float>, label string")
+    got = {r["vec_id"]: r for r in embeddings.near_vectors(d).collect()}
+    links = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (links <= near.sum(1)).all() and links.sum() >= 0.99 * near.sum()
+    assert len({r["component_id"] for r in got.values()} ^ set(roots(list(zip(*np.nonzero(near))), range(len(x))).values())) <= 0.01 * len(x)
+    reps = d.select(F.lit(0).cast("long").alias("lid"), F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("m"), "embedding")
+    pivots = embeddings._fitted(reps)
+    rows = embeddings._routed(reps, pivots, False)
+    assert len(pivots[0][0]) == 20 and rows.where("not guest").count() == len(x) and rows.count() < 6 * len(x)
+    assert rows.where("not guest").groupBy("cell").count().agg(F.max("count")).first()[0] > 200
