@@ -31,7 +31,10 @@ BLOCK = 1 << 19
 #: White space of any kind beside a blank: such texts are encoded in one piece.
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _UNEVEN = f"{_WHITE} | {_WHITE}"
+_DARK = "[^" + _WHITE[1:] + "+"
 _loaded: dict[str, tuple] = {}
+#: The parts of the slice before, their ids and offsets: a few MB.
+_last: dict[str, tuple] = {}
 #: Bytes of text encoded at once.
 SLICE = 8 << 20
 
@@ -88,9 +91,43 @@ def _encode_lines(t, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.delete(ids, at), np.diff(at, prepend=-1) - 1
 
 
+def _splits_marks(t) -> bool:
+    """Whether the tokenizer's own splitting is known to cut between a letter and a mark, and beside a single line break."""
+    p = t.pre_tokenizer
+    return type(p).__name__ == "ByteLevel" and p.use_regex and not p.add_prefix_space and t.normalizer is None
+
+
+def _encode_marked(t, pieces: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """As _encode_lines, for pieces that may also hold single line breaks: cut there, and before the marks that end a
+    line's words, so that a word is encoded once whatever follows it. What the call before encoded isn't encoded again."""
+    cut = pc.replace_substring_regex(pieces, r"([A-Za-z])([.,!?;:]+)(\n|$)", "\\1\x1f\\2\\3")
+    parts = pc.split_pattern(pc.replace_substring(cut, "\n", "\x1f\n\x1f"), "\x1f")
+    ends = np.concatenate(([0], np.cumsum(pc.list_value_length(parts).to_numpy())))
+    flat = parts.flatten().dictionary_encode()
+    del cut, parts
+    names, code = flat.dictionary, flat.indices.to_numpy()
+    old, ids, off = _last.pop(path, (names[:0], np.zeros(0, np.uint32), np.zeros(1, np.int64)))
+    place = pc.fill_null(pc.index_in(names, value_set=old), -1).to_numpy().astype(np.int64)
+    fresh = np.flatnonzero(place < 0)
+    place[fresh] = len(old) + np.arange(len(fresh))
+    words = names.take(pa.array(fresh)).to_pylist()
+    if "\n" in words:  # which can't be a line
+        at = words.index("\n")
+        place[fresh] = np.concatenate((place[fresh][:at], place[fresh][-1:], place[fresh][at:-1]))
+        words.append(words.pop(at))
+    lines = len(words) - (words[-1:] == ["\n"])
+    new, sizes = _encode_lines(t, words[:lines])
+    mark, size = _encode_each(t, words[lines:])
+    ids, off = _spread(np.concatenate((ids, new, mark)), np.concatenate((off, off[-1] + np.cumsum(np.concatenate((sizes, size))))), place)
+    _last[path] = (names, ids, off)
+    out, off = _spread(ids, off, code)
+    return out, np.diff(off[ends])
+
+
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts and offsets. A text is cut before each single blank, where the tokenizer's own splitting
-    always cuts, so that each distinct piece is encoded once; texts with other white space beside a blank aren't cut."""
+    always cuts, so that each distinct piece (or part of one) is encoded once; texts with other white space beside a
+    blank aren't cut."""
     t, _ = tokenizer(path)
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)
@@ -110,14 +147,18 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     number = np.zeros(2 * len(names), np.int32)
     number[used] = np.arange(len(used))
     code = number[code]
-    plain = np.tile(~pc.match_substring_regex(names, f"^$|{_WHITE}").to_numpy(zero_copy_only=False), 2)[used]
-    names = names.to_pylist()
-    pieces = [" " + names[i] if i < len(names) else names[i - len(names)] for i in used.tolist()]
-    del names
+    parted = _splits_marks(t)
+    plain = pc.match_substring_regex(names, f"^{_DARK}(\\n{_DARK})*$" if parted else f"^{_DARK}$").to_numpy(zero_copy_only=False)
+    plain = np.tile(plain, 2)[used]
     easy, hard = np.flatnonzero(plain), np.flatnonzero(~plain)
-    ids_a, size_a = _encode_lines(t, [pieces[i] for i in easy.tolist()])
-    ids_b, size_b = _encode_each(t, [pieces[i] for i in hard.tolist()] + [texts[int(i)].as_py() for i in odd])
-    del pieces
+
+    def pieces(k):
+        own, blank = names.take(pa.array(used[k] % len(names))), pa.array(used[k] < len(names))
+        return pc.if_else(blank, pc.binary_join_element_wise(pa.scalar(" ", names.type), own, pa.scalar("", names.type)), own)
+
+    ids_a, size_a = _encode_marked(t, pieces(easy), path) if parted else _encode_lines(t, pieces(easy).to_pylist())
+    ids_b, size_b = _encode_each(t, pieces(hard).to_pylist() + [texts[int(i)].as_py() for i in odd])
+    del names
     place = np.empty(len(used), np.int32)
     place[easy], place[hard] = np.arange(len(easy)), len(easy) + np.arange(len(hard))
     code = place[code]

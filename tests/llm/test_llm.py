@@ -627,3 +627,21 @@ def test_embeddings_in_cells(spark, monkeypatch):
     rows = embeddings._routed(reps, pivots, False)
     assert len(pivots[0][0]) == 20 and rows.where("not guest").count() == len(x) and rows.count() < 6 * len(x)
     assert rows.where("not guest").groupBy("cell").count().agg(F.max("count")).first()[0] > 200
+
+
+def test_encode_cuts_before_marks(tokens, monkeypatch):
+    # a word is encoded once, whatever marks or line follow it; what looks alike but is split otherwise has the same ids as a whole
+    texts = ["word word. word, word! word\nword word.\nword", "it's. Its.'s a.b word...\n'tis don't, x2. é. é\u0301. 3.5, word.\n\nword word\n", "a\x1fb. \u2028c.", "\nword.", "word.\n", "\n", "a.\n b", "end.\u00a0", "<|endoftext|>. word<|endoftext|>"]
+    t = packing.tokenizer(tokens)[0]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    sent, lines = [], packing._encode_lines
+    monkeypatch.setattr(packing, "_encode_lines", lambda t, x: sent.append(x) or lines(t, x))
+    ids, off = packing.encode(pa.array(texts), tokens)
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == want
+    packing.encode(pa.array(["other"]), tokens)
+    packing.encode(pa.array(texts[:1]), tokens)
+    packing.encode(pa.array(["word two. word"]), tokens)
+    assert sorted(sent[2]) == [" word", "!", ",", ".", "word"] and sent[3] == [" two"]
+    for _ in range(2):
+        ids, off = packing.encode(pa.array(texts[::-1] + texts), tokens)
+        assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == want[::-1] + want
