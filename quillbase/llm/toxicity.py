@@ -40,20 +40,19 @@ class Words:
             self.whole = np.zeros(0, np.uint64)
             self.word, self.piece, self.first, self.size, self.count = (np.zeros(0, np.int64) for _ in range(5))
             return
-        core = _CORE[s.data] & s.is_word
-        run = np.cumsum(core)
-        pw, inv = C.powers(len(s.data) + 1)
-        h = np.add.reduceat(np.where(core, C._BYTE[s.data] * pw[run], np.uint64(0)), s.start)
-        h = C.mix(h * inv[run[s.start]])
         # the whole word with its marks tells words apart; the core names its row
         whole = s.word_hash()
-        _, at, ids, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(whole)
+        new = np.ones(len(order), bool)
+        new[1:] = whole[order[1:]] != whole[order[:-1]]
+        first = np.flatnonzero(new)
+        at, count, ids = order[first], np.diff(np.append(first, len(order))), np.empty(len(order), np.int64)
+        ids[order] = np.cumsum(new) - 1
         often = np.argsort(-count, kind="stable")  # frequent words lie together, which the scoring loop's cache likes
         place = np.empty_like(often)
         place[often] = np.arange(len(often))
         at, self.ids, self.count = at[often], place[ids], count[often]
         self.whole = whole[at]
-        self.word = (h[at] >> np.uint64(64 - WORD_BITS)).astype(np.int64)
         nxt = np.append(s.is_word[1:], False)
         nxt[s.off[1:-1][(s.off[1:-1] > 0) & (s.off[1:-1] < len(s.data))] - 1] = False
         end = np.flatnonzero(s.is_word & ~nxt) + 1
@@ -62,7 +61,13 @@ class Words:
         first = np.concatenate(([0], np.cumsum(length + 3)))
         buf = np.zeros(first[-1] + 3, np.uint32)
         inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-        buf[np.repeat(first[:-1] + 1, length) + inside] = s.data[np.repeat(begin, length) + inside]
+        data = s.data[np.repeat(begin, length) + inside]
+        buf[np.repeat(first[:-1] + 1, length) + inside] = data
+        core, start = _CORE[data], np.cumsum(length) - length
+        run = np.cumsum(core)
+        pw, inv = C.powers(len(data) + 1)
+        h = C.mix(np.add.reduceat(np.where(core, C._BYTE[data] * pw[run], np.uint64(0)), start) * inv[run[start]])
+        self.word = (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
         p = np.repeat(first[:-1], length) + inside
         a = buf[p] * np.uint32(0x9E3779B1) + buf[p + 1] * np.uint32(0x85EBCA77) + buf[p + 2] * np.uint32(0xC2B2AE3D)
         b = (a ^ (buf[p + 3] + np.uint32(1)) * np.uint32(0x27D4EB2F)) * np.uint32(0x165667B1)
@@ -91,9 +96,9 @@ class Words:
         if not len(self.word):
             return np.zeros((1, WORD_DIM + PIECE_DIM), np.float32)
         pieces = np.empty((len(self.word), PIECE_DIM), p["piece"].dtype)
-        for a in range(0, len(self.word), 1 << 14):  # the rows of all pieces at once would take hundreds of MB
-            first, size = self.first[a : a + (1 << 14)], self.size[a : a + (1 << 14)]
-            pieces[a : a + (1 << 14)] = np.add.reduceat(p["piece"][self.piece[first[0] : first[-1] + size[-1]]], first - first[0], axis=0) / np.sqrt(size)[:, None].astype(np.float32)
+        for a in range(0, len(self.word), 1 << 10):  # the rows of few words' pieces, which the cache holds
+            first, size = self.first[a : a + (1 << 10)], self.size[a : a + (1 << 10)]
+            pieces[a : a + (1 << 10)] = np.add.reduceat(p["piece"][self.piece[first[0] : first[-1] + size[-1]]], first - first[0], axis=0) / np.sqrt(size)[:, None].astype(np.float32)
         x = np.concatenate((p["word"][self.word], pieces), 1)
         return np.concatenate((x, np.zeros((1, x.shape[1]), np.float32)))
 
@@ -228,23 +233,32 @@ def _full_windows(p: Params, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
         for back, (proj, part) in enumerate(sides):
             g = np.ascontiguousarray(proj[ids[at : at + b + WINDOW - 1]].T)
             h, all_, told = np.zeros((h1, b), np.float32), np.empty((len(part), b), np.float32), np.empty((WINDOW, ATTEND + 1, b), np.float32)
-            all_[:] = 0
-            for k in range(WINDOW - 1, -1, -1) if back else range(WINDOW):
-                rz, hn, gk = all_[:h2], all_[h2:h3], g[:, k : k + b]
-                rz += gk[:h2]
-                np.tanh(rz, rz)
-                r, z = rz[:h1], rz[h1:]
-                r += 1
-                r *= hn
-                r += gk[h2:]
-                np.tanh(r, r)
-                r -= h
+            last = part[h3:]
+            steps = range(WINDOW - 1, -1, -1) if back else range(WINDOW)
+            rz, hn = all_[:h2], all_[h2:h3]
+            r, z = rz[:h1], rz[h1:]
+            for k in steps:
+                gk = g[:, k : k + b]
+                if k == steps[0]:  # from a state of zeros
+                    np.tanh(gk[h2:], r)
+                    np.tanh(gk[h1:h2], z)
+                else:
+                    rz += gk[:h2]
+                    np.tanh(rz, rz)
+                    r += 1
+                    r *= hn
+                    r += gk[h2:]
+                    np.tanh(r, r)
+                    r -= h
                 z *= -0.5
                 z += 0.5
                 r *= z
                 h += r
-                np.matmul(part, h, out=all_)
-                told[k] = all_[h3:]
+                if k == steps[-1]:  # no gates follow
+                    np.matmul(last, h, out=told[k])
+                else:
+                    np.matmul(part, h, out=all_)
+                    told[k] = all_[h3:]
             said.append(told)
         told = said[0]
         told += said[1]

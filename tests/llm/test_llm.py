@@ -645,3 +645,17 @@ def test_encode_cuts_before_marks(tokens, monkeypatch):
     for _ in range(2):
         ids, off = packing.encode(pa.array(texts[::-1] + texts), tokens)
         assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == want[::-1] + want
+
+
+def test_words_are_hashed_once(monkeypatch):
+    # cores are hashed for each distinct word, and words that differ in marks alone share a row
+    sizes, mix = [], toxicity.C.mix
+    monkeypatch.setattr(toxicity.C, "mix", lambda h: sizes.append(len(h)) or mix(h))
+    w = toxicity.Words(pa.array(["word, other word " * 300, None, "Word other"]))
+    assert sizes == [902, 3] and np.bincount(w.ids).tolist() == w.count.tolist() and sorted(w.count) == [300, 301, 301]
+    assert len(set(w.word.tolist())) == 2
+    p = toxicity.new_params()
+    p["piece"] += np.random.default_rng(1).standard_normal(p["piece"].shape).astype(np.float32)
+    best, begin = toxicity.highest(p, w)
+    logit = toxicity.forward(p, w.inputs(p), w.window(np.arange(900 - toxicity.WINDOW + 1), np.zeros(900 - toxicity.WINDOW + 1, np.int64)))
+    assert abs(best[0] - logit.max()) < 1e-4 and best[0] - logit[begin[0]] < 1e-4
