@@ -93,8 +93,9 @@ class Scan:
         off = np.frombuffer(a.buffers()[1], np.int64, self.n + 1, a.offset * 8) if self.n else np.zeros(1, np.int64)
         raw = a.buffers()[2] if self.n else None
         data = np.frombuffer(raw, np.uint8)[off[0] : off[-1]] if raw is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
-        self.off, self.data = off - off[0], LOWER[data] if lower else data
-        self.is_word = ~SPACE[self.data]
+        # by comparisons, which are many times faster than looking each byte up in SPACE and LOWER
+        self.off, self.data = off - off[0], data + ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5)) if lower else data
+        self.is_word = (self.data != 32) & (self.data - np.uint8(9) > 4)
         prev = np.empty_like(self.is_word)
         prev[1:] = self.is_word[:-1]
         inner = self.off[:-1][self.off[:-1] < len(self.data)]
@@ -114,8 +115,11 @@ class Scan:
         if not len(self.start):
             return np.zeros(0, np.uint64)
         pw, inv = powers(len(self.data))
-        sums = np.add.reduceat(_BYTE_WORD[self.data] * pw[: len(self.data)], self.start)
-        return mix(sums * inv[self.start])
+        terms = np.empty(len(self.data), np.uint64)
+        for a in range(0, len(terms), 1 << 14):  # few at once, which the cache holds
+            part = slice(a, a + (1 << 14))
+            np.multiply(_BYTE_WORD.take(self.data[part], mode="clip"), pw[a : a + len(terms[part])], out=terms[part])
+        return mix(np.add.reduceat(terms, self.start) * inv[self.start])
 
     def shape_hash(self) -> np.ndarray:
         """Of each word's character classes with runs collapsed: Word -> Aa, of%%% -> a%."""

@@ -197,9 +197,10 @@ def _dealt(classes: DataFrame, parts: int, wanted=None) -> DataFrame:
     def flush(held):
         key, *rest = (np.concatenate([h[k] for h in held]) for k in _POSTING)
         part = (C.mix(key) % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        own, first = np.unique(part[order], return_index=True)
-        off = np.append(first, len(part))
+        order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")  # by digits, if narrow
+        many = np.bincount(part, minlength=parts)
+        own = np.flatnonzero(many).astype(np.int32)
+        off = np.append(0, np.cumsum(many[own]))
         cols = []
         for v, kind in zip((key, *rest), _POSTING.values()):
             v = v[order].astype(kind)
@@ -427,6 +428,6 @@ def deduplicated(docs: DataFrame, percent: int = 80, min_words: int = 1) -> Data
     stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone["__gone"])
     left = F.transform(F.array(F.split(docs["text"], "\n")), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))[0]
     text = F.when(gone["__gone"].isNull(), docs["text"]).otherwise(left)
-    n_lines = F.when(docs["text"].isNull(), 0).otherwise(F.length(docs["text"]) - F.length(F.replace(docs["text"], F.lit("\n"), F.lit(""))) + 1).cast("long")
+    n_lines = F.when(docs["text"].isNull(), 0).otherwise(F.octet_length(docs["text"]) - F.octet_length(F.replace(docs["text"], F.lit("\n"), F.lit(""))) + 1).cast("long")
     out = docs.join(C.small_side(gone, "__gone"), (docs["doc_id"] == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__th"]), "left")
     return out.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns], n_lines.alias("__n_lines"), F.coalesce(F.size(gone["__gone"]), F.lit(0)).cast("long").alias("__n_removed"))

@@ -659,3 +659,19 @@ def test_words_are_hashed_once(monkeypatch):
     best, begin = toxicity.highest(p, w)
     logit = toxicity.forward(p, w.inputs(p), w.window(np.arange(900 - toxicity.WINDOW + 1), np.zeros(900 - toxicity.WINDOW + 1, np.int64)))
     assert abs(best[0] - logit.max()) < 1e-4 and best[0] - logit[begin[0]] < 1e-4
+
+
+def test_bytes_are_told_by_comparisons(monkeypatch):
+    # every byte is of the class and case that the tables give; texts of several hash blocks have each word's own hash
+    common = toxicity.C
+    data = bytes(range(1, 128)) * 400 + "é ß".encode()
+    text = data.decode()
+    s = common.Scan(pa.array([text], pa.large_string()), lower=True)
+    assert (s.data == common.LOWER[np.frombuffer(data, np.uint8)]).all() and (s.is_word == ~common.SPACE[s.data]).all()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", bytes(s.data))
+    one = {w: common.Scan(pa.array([w.decode()], pa.large_string())).word_hash()[0] for w in set(words)}
+    assert s.word_hash().tolist() == [one[w] for w in words]
+    # no byte is looked up in the tables of all bytes
+    monkeypatch.setattr(common, "SPACE", None)
+    monkeypatch.setattr(common, "LOWER", None)
+    assert len(common.Scan(pa.array(["A b"]), lower=True).start) == 2
