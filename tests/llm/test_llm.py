@@ -675,3 +675,23 @@ def test_bytes_are_told_by_comparisons(monkeypatch):
     monkeypatch.setattr(common, "SPACE", None)
     monkeypatch.setattr(common, "LOWER", None)
     assert len(common.Scan(pa.array(["A b"]), lower=True).start) == 2
+
+
+def test_toxicity_without_tanh(monkeypatch):
+    # the scoring loop has no tanh, which costs most where it has no wide registers, and its logits are forward's all the same
+    p = {k: v + 0.3 * np.random.default_rng(1).standard_normal(v.shape).astype(np.float32) for k, v in toxicity.new_params(3).items()}
+    wide = p | {"uf": 99 * p["uf"]}
+    w = toxicity.Words(pa.array([" ".join(f"w{i * i % 211}" for i in range(300)), "é" * 500 + " zz", "x" * 70 + " y"]))
+    x, ids = w.inputs(p), w.ids[:300]
+    want = p["piece"][w.piece].astype(np.float64)
+    want = np.array([want[a : a + n].sum(0) / np.sqrt(n) for a, n in zip(w.first, w.size)])
+    assert np.allclose(x[:-1, toxicity.WORD_DIM :], want, rtol=2e-5, atol=1e-5)
+    at = np.arange(300 - toxicity.WINDOW + 1)[:, None] + np.arange(toxicity.WINDOW)
+    logit, far = toxicity.forward(p, x, ids[at]), toxicity.forward(wide, x, ids[at])
+    assert np.abs(toxicity._full_windows(wide, x, ids) - far).max() < 1e-4
+    monkeypatch.setattr(toxicity, "BLOCK", 100)
+    monkeypatch.setattr(np, "tanh", None)
+    assert np.abs(toxicity._full_windows(p, x, ids) - logit).max() < 1e-4
+    gate = np.linspace(-toxicity.FAR, toxicity.FAR, 4001)
+    odds = toxicity._odds(((gate / (1 << toxicity.SQUARES) - toxicity.MIDDLE) / toxicity.WIDTH).astype(np.float32))
+    assert np.abs(1 / odds - 1 / (1 + np.exp(gate))).max() < 4e-6
