@@ -244,6 +244,13 @@ def release(*tables: DataFrame) -> None:
     tables[0].sparkSession._jvm.System.gc()
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """A full collection in a task for each core, as executors keep a heap that an earlier stage has grown, beside which
+    the Python workers of the next one have little room."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.call_function("java_method", F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def small_side(df: DataFrame, lists: str | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a checkpointed table of narrow rows (and of lists with few entries in all) for broadcast only if it was
     counted to be small; else joins shuffle."""

@@ -695,3 +695,13 @@ def test_toxicity_without_tanh(monkeypatch):
     gate = np.linspace(-toxicity.FAR, toxicity.FAR, 4001)
     odds = toxicity._odds(((gate / (1 << toxicity.SQUARES) - toxicity.MIDDLE) / toxicity.WIDTH).astype(np.float32))
     assert np.abs(1 / odds - 1 / (1 + np.exp(gate))).max() < 4e-6
+
+
+def test_pipeline_shrinks_heaps(docs, spark, tokens, tmp_path):
+    # a stage begins with a full collection of the executors, which here are the driver
+    pipeline = pytest.importorskip("corpus_pipeline")
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if re.search("Old|MarkSweep", b.getName()))
+    before = full()
+    out = pipeline.pack(spark, docs.select("doc_id", "text"), str(tmp_path))
+    assert full() > before and out.select("doc_id").distinct().count() == docs.count()
