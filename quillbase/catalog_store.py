@@ -149,8 +149,8 @@ def _sizes(spark, sf_dir):
 
 @query("SELECT (sum(p_size) % 256)::SMALLINT AS small, ((sum(p_size::HUGEINT * 40000000) + 2147483648) % 4294967296 - 2147483648)::INT AS size, count(*) AS n FROM part")
 def agg_model_types(spark, sf_dir):
-    r = requests.Scan(limit=100_000, aggregations={"small": ag.Sum("small"), "size": ag.Sum("size"), "n": ag.ValueCount("size")})
-    return requests.fetch_scan(SIZES, _sizes(spark, sf_dir), r).aggregations
+    r = requests.Scan(aggregations={"small": ag.Sum("small"), "size": ag.Sum("size"), "n": ag.ValueCount("size")})
+    return requests.aggregate_scan(SIZES, _sizes(spark, sf_dir), r)
 
 
 @query("""SELECT ((q + CASE WHEN 2 * r > n OR (2 * r = n AND q % 2 = 1) THEN 1 ELSE 0 END) / 100)::DECIMAL(12,2)::VARCHAR AS average, n, brand FROM (

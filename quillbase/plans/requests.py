@@ -317,7 +317,8 @@ def _visible(df: DataFrame, hide: bool) -> DataFrame:
     return df.where(~F.col(HIDDEN)) if hide and HIDDEN in df.columns else df
 
 
-def fetch_scan(model: Model, table: DataFrame, request: Scan) -> Response:
+def _scanned(model: Model, table: DataFrame, request: Scan) -> tuple[DataFrame, PlanInfo, list[tuple[Column, bool]]]:
+    """Every record that a scan's pages hold from its place on, in no order; its access path; what orders it."""
     info = choose(model, request)
     _guard(model, request, info)
     cols = order_columns(model, request, info)
@@ -331,6 +332,19 @@ def fetch_scan(model: Model, table: DataFrame, request: Scan) -> Response:
             out = out.where(_after(cols, decode_cursor(model, request, request.cursor), kinds, False))
         elif (place := _place(model, table, request, info, cols)) is not None:
             out = out.where(_after(cols, place, kinds, request.include_start))
+    return out, info, cols
+
+
+def aggregate_scan(model: Model, table: DataFrame, request: Scan) -> DataFrame:
+    """A scan's aggregations over every record from its place on, as of all its pages together: the limit cuts nothing."""
+    if not request.aggregations:
+        raise RequestError("no aggregations")
+    return aggregate(_scanned(model, table, request)[0], request.aggregations, model)
+
+
+def fetch_scan(model: Model, table: DataFrame, request: Scan) -> Response:
+    """A page of at most the request's limit; its aggregations see that page (aggregate_scan: all pages)."""
+    out, info, cols = _scanned(model, table, request)
     page = out.orderBy(*[c.desc() if d else c.asc() for c, d in cols]).limit(request.limit)
     response = _finish(model, page, request, info)
 

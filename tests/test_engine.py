@@ -347,6 +347,31 @@ def test_aggregation_kinds(spark):
         ag.aggregate(spark.createDataFrame([(Decimal("9.9"),), (Decimal("9.9"),)], "m decimal(2,1)"), {"s": ag.Sum("m")}).collect()
 
 
+def test_aggregations_over_all_pages(spark, tmp_path):
+    from quillbase.catalog_store import QUERIES
+
+    n = rq.MAX_LIMIT + 5
+    spark.range(n).selectExpr("id AS p_partkey", "CAST(1 + id % 50 AS int) AS p_size", "1.5D AS p_retailprice").write.parquet(str(tmp_path / "part.parquet"))
+    want = sum(1 + i % 50 for i in range(n))
+    got = QUERIES["agg_model_types"](spark, str(tmp_path)).collect()
+    assert got == [(want % 256, (want * 40_000_000 + 2**31) % 2**32 - 2**31, n)]
+
+    rows = [(a, b, 10 * a + b if (a + b) % 20 else None, b == 30) for a in range(1, 9) for b in (10, 20, 30)]
+    d = spark.createDataFrame(rows, "a int, b int, n int, _is_deleted boolean")
+    request = lambda **k: rq.Scan(limit=2, aggregations={"n": ag.ValueCount("a"), "s": ag.Sum("n")}, **k)
+    run = lambda **k: [tuple(r) for r in rq.aggregate_scan(PAIR, d, request(**k)).collect()]
+    of = lambda test: [(len(x := [r for r in rows if test(*r)]), sum(r[2] for r in x if r[2] is not None))]
+    assert run() == of(lambda a, b, n, gone: not gone)
+    assert run(filter_soft_deleted=False) == of(lambda a, b, n, gone: True)
+    assert run(start_key=(3, 20), include_start=False) == of(lambda a, b, n, gone: not gone and (a, b) > (3, 20))
+    assert run(where=fl.Equals(b=20), order=(rq.Order("b"), rq.Order("a", True)), strict=False) == of(lambda a, b, n, gone: b == 20)
+    assert run(order=(rq.Order("n"),)) == of(lambda a, b, n, gone: not gone and n is not None)  # the others aren't in the index
+    assert run(where=fl.Equals(a=99)) == []
+    assert rq.fetch_scan(PAIR, d, request()).aggregations.collect() == [(2, 50)]  # of the page: (1, 10), (1, 20)
+    with pytest.raises(rq.RequestError):
+        rq.aggregate_scan(PAIR, d, rq.Scan())
+
+
 def test_decimals(spark):
     from decimal import Decimal
 
