@@ -144,13 +144,18 @@ SIZES = Model("Sizes", (Prop(1, "p_partkey", "sint64"), Prop(2, "small", "uint8"
 
 
 def _sizes(spark, sf_dir):
-    return _t(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("smallint").alias("small"), "p_size", (F.col("p_size") * 40_000_000).alias("size"), F.col("p_retailprice").cast("decimal(12,2)").alias("price"))
+    """Sizes wrap in their properties' widths, which leaves wrapped sums as they are; one: counts records without a size too."""
+    n = F.col("p_size").cast("long")
+    size = F.pmod(n * 40_000_000 + (1 << 31), F.lit(1 << 32)) - (1 << 31)
+    return _t(spark, sf_dir, "part").select("p_partkey", F.pmod(n, F.lit(1 << 8)).cast("smallint").alias("small"), "p_size", size.cast("int").alias("size"), F.col("p_retailprice").cast("decimal(12,2)").alias("price"), F.lit(1).alias("one"))
 
 
 @query("SELECT (sum(p_size) % 256)::SMALLINT AS small, ((sum(p_size::HUGEINT * 40000000) + 2147483648) % 4294967296 - 2147483648)::INT AS size, count(*) AS n FROM part")
 def agg_model_types(spark, sf_dir):
-    r = requests.Scan(aggregations={"small": ag.Sum("small"), "size": ag.Sum("size"), "n": ag.ValueCount("size")})
-    return requests.aggregate_scan(SIZES, _sizes(spark, sf_dir), r)
+    r = requests.Scan(aggregations={"small": ag.Sum("small"), "size": ag.Sum("size"), "n": ag.ValueCount("one")})
+    out = requests.aggregate_scan(SIZES, _sizes(spark, sf_dir), r)
+    # an empty table has a row too, as in SQL
+    return out.agg(F.first("small").alias("small"), F.first("size").alias("size"), F.coalesce(F.first("n"), F.lit(0)).alias("n"))
 
 
 @query("""SELECT ((q + CASE WHEN 2 * r > n OR (2 * r = n AND q % 2 = 1) THEN 1 ELSE 0 END) / 100)::DECIMAL(12,2)::VARCHAR AS average, n, brand FROM (

@@ -372,6 +372,17 @@ def test_aggregations_over_all_pages(spark, tmp_path):
         rq.aggregate_scan(PAIR, d, rq.Scan())
 
 
+@pytest.mark.parametrize("rows", [[(1, 7), (2, None), (None, 50)], [(1, None)], [], [(i, 1 + i * 9973) for i in range(40)], [(1, 107), (2, 53), (3, 54)]])
+def test_model_types_as_in_sql(spark, tmp_path, rows):
+    import duckdb
+
+    from quillbase.catalog_store import ORACLE_SQL, QUERIES
+
+    spark.createDataFrame([(*r, 1.5) for r in rows], "p_partkey long, p_size int, p_retailprice double").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    want = duckdb.sql(ORACLE_SQL["agg_model_types"].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'")).fetchall()
+    assert [tuple(r) for r in QUERIES["agg_model_types"](spark, str(tmp_path)).collect()] == want
+
+
 def test_decimals(spark):
     from decimal import Decimal
 
